@@ -28,6 +28,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], freq: str,
     a whole. The table is read several times, so pass one that is staged.
     """
     keys = [keys] if isinstance(keys, str) else keys
+    # Spark 4.1 may take the union below for one laid out by id and then fail when it
+    # re-plans one branch ("Can't zip RDDs with unequal numbers of partitions").
+    rows.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     if table.limit(hot_keys + 1).count() <= hot_keys:
         return rows.join(F.broadcast(table.drop(freq)), keys, how)
     bound = _hot_bound(table, freq, hot_keys)
