@@ -25,7 +25,7 @@ PARTIAL_FROM, FAR_FROM = 1.5, 8.0
 
 def normalise(text: Column) -> Column:
     """Drop Latin-1 accents and signs, other non-word characters to spaces, lower-case, trim."""
-    kept = F.regexp_replace(text, r"[\x{80}-\x{FF}]", "")
+    kept = F.regexp_replace(text, r"[\x{80}-\x{FF}]+", "")
     return F.trim(F.lower(F.regexp_replace(kept, r"[^\p{L}\p{N}_]", " ")))
 
 
