@@ -16,7 +16,7 @@ def test_clean_text_removes_stop_words_before_punctuation(pairs):
     assert got[1] == ("learn spark ", "best way learn spark ")
     assert got[4] == ("", "it ")
     assert got[2][0] == "why "
-    assert got[6] == ("visit usa", "visit uk") or got[6] == ("visit usa now", "visit uk now")
+    assert got[6] == ("visit usa", "visit uk")            # "now" is a stop word, and nothing follows
     assert got[7] == (" ber  cole", " cole  ber")
 
 
@@ -120,8 +120,9 @@ def test_sequences_and_padding(pairs, hot_keys):
     assert padded[8]["p1"] == [0] * 37 + [index["data"]] * 3
     assert padded[10]["p1"] == [index[f"w{i}"] for i in range(5, 45)]
     assert padded[3]["p1"] == [0] * 40
-    capped = by_id(corpus.texts_to_sequences(pairs, vocabulary, cap=2))
-    assert capped[8]["seq1"] in ([], [1, 1, 1])
+    for cap in (index["data"], index["data"] + 1):
+        capped = by_id(corpus.texts_to_sequences(pairs, vocabulary, cap=cap))
+        assert capped[8]["seq1"] == ([] if cap == index["data"] else [index["data"]] * 3)
 
 
 @pytest.mark.parametrize("hot_keys", [10_000, 2])
