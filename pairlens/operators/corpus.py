@@ -50,10 +50,10 @@ def tfidf_weights(pairs: DataFrame, frequencies: DataFrame, n_documents: int,
     where they are, and only rare terms travel to meet their frequency.
     """
     cells = question_cells(pairs.select("id", "question1", "question2").repartition("id"))
-    rows = (cells.select("id", "side", F.explode(T.tfidf_terms(F.col("text"), stops)).alias("term"))
-            .groupBy("id", "side", "term").agg(F.count("*").alias("tf")))
+    rows = cells.select("id", "side", F.explode(T.tfidf_terms(F.col("text"), stops)).alias("term"))
+    counted = lambda df: df.groupBy("id", "side", "term").agg(F.count("*").alias("tf"))
     found = lookup(rows, frequencies.select("term", "df", F.col("df").alias("freq")), "term", "freq",
-                   hot_keys=hot_keys)
+                   hot_keys=hot_keys, shrink=counted)
     idf = F.log((1.0 + F.lit(n_documents)) / (1.0 + F.col("df"))) + 1.0
     return found.select("id", "side", "term", "tf", (F.col("tf") * idf).alias("w"))
 

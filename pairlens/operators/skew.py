@@ -8,6 +8,8 @@ bound is what makes broadcasting it safe.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_KEYS = 10_000
@@ -18,28 +20,32 @@ def _hot_bound(table: DataFrame, freq: str, hot_keys: int) -> Column:
     return total.scalar()
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], freq: str, *,
-           how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], freq: str, *, how: str = "inner",
+           hot_keys: int = HOT_KEYS, shrink: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Attach the table's narrow columns to the rows.
 
     Rows with a hot key meet a broadcast of the hot part and are not shuffled;
     in word data they are most rows. The rest go through an ordinary equi-join,
     in which no key is hot any more. A table of at most `hot_keys` rows is hot as
     a whole. The table is read several times, so pass one that is staged.
+
+    `shrink` is a grouping that keeps the keys. It runs once hot and other rows are
+    apart, so that each row is grouped once, and before either meets the payload.
     """
     keys = [keys] if isinstance(keys, str) else keys
     # Spark 4.1 may take the union below for one laid out by id and then fail when it
     # re-plans one branch ("Can't zip RDDs with unequal numbers of partitions").
     rows.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     if table.limit(hot_keys + 1).count() <= hot_keys:
-        return rows.join(F.broadcast(table.drop(freq)), keys, how)
+        return (shrink(rows) if shrink else rows).join(F.broadcast(table.drop(freq)), keys, how)
     bound = _hot_bound(table, freq, hot_keys)
     payload = [c for c in table.columns if c != freq]
     hot = F.broadcast(table.filter(F.col(freq) > bound).select(payload))
     cold = table.filter(F.col(freq) <= bound).select(payload)
-    near = rows.join(hot, keys, "inner")
-    far = rows.join(hot, keys, "left_anti").join(cold, keys, how)
-    return near.unionByName(far)
+    near, far = rows, rows.join(hot, keys, "left_anti")
+    if shrink:
+        near, far = shrink(rows.join(hot, keys, "left_semi")), shrink(far)
+    return near.join(hot, keys, "inner").unionByName(far.join(cold, keys, how))
 
 
 def lookup_salted(rows: DataFrame, table: DataFrame, key: str, freq: str, *, spread: Column,
