@@ -1,0 +1,53 @@
+"""The derived inputs, the registry, and the whole way from texts to blended scores."""
+
+import __spark_entry__ as entry
+from pairlens.operators import assemble as A, corpus, models as M, vectors as V
+from pairlens.functions import text as T
+from pairlens.plans.features import feature_table
+from pairlens.sources import derived
+from pairlens.staging import stage
+from tests.conftest import by_id
+
+
+def test_every_sql_text_belongs_to_a_query():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {
+        "fuzz_ratios", "diff_ratio", "feature_table", "random_forest", "gbt_ensemble", "embedding_pair_classifier"}
+
+
+def test_derived_pairs_link_every_group_to_its_first(spark):
+    line = "a line that is certainly longer than forty characters"
+    texts = {1: "same", 20: "same", 40: "same", 60: "same", 80: "same", 100: "same", 120: "same",
+             200: f"x\n  {line}", 220: f"{line}\ny", 240: f"{line}\nz\n{line}", 241: "alone", 248: None}
+    docs = stage(spark.createDataFrame([(k, v or " ") for k, v in texts.items()], "doc_id long, text string"), "docs")
+    got = derived.build_pairs(docs).collect()
+    assert {(r.id1, r.id2) for r in got} == {(1, i) for i in (20, 40, 60, 80, 100, 120)} | {
+        (200, 220), (200, 240), (240, 241), (241, 248)}
+    assert len(got) == 10 and len({r.id for r in got}) == 10
+    labels = {(r.id1, r.id2): r.is_duplicate for r in got}
+    assert labels[1, 20] == 1 and labels[200, 220] == 1 and labels[240, 241] == 0 and labels[241, 248] == 0
+
+
+def test_texts_to_features_to_scores(spark, pairs):
+    counts = stage(corpus.token_counts(corpus.question_cells(pairs)), "counts")
+    words = sorted(r.word for r in counts.collect())
+    vectors = stage(spark.createDataFrame(
+        [(w, [float((i * k) % 7 - 3) for k in range(1, 5)]) for i, w in enumerate(words[:30])],
+        "word string, vec array<double>"), "vectors")
+    lexicon = stage(spark.createDataFrame([("data", "NN"), ("lake", "NN"), ("spark", "NNP")], "word string, tag string"), "lexicon")
+    table = stage(feature_table(pairs, vectors, lexicon), "features")
+    rows = by_id(table)
+    assert tuple(table.columns[-66:]) == A.FEATURES and table.count() == len(rows) == pairs.count()
+    assert rows[8]["noun_match"] == 3 and rows[2]["fuzz_WRatio"] == 100 and rows[2]["q1_pr"] == rows[2]["q2_pr"]
+    assert rows[11]["q1_q2_intersect"] == 0 and rows[11]["q1_freq"] == 1
+
+    clean = A.finite_or_zero(table).drop("question1", "question2")
+    columns = list(A.FEATURES)
+    assert not any(A.null_audit(clean, columns).first())
+    train = clean.filter("split = 'train'")
+    members = M.gbt_ensemble(train, clean, columns, rounds=2, members=2)
+    sentence = V.sentence_vectors(pairs, vectors, corpus.token_counts(corpus.question_cells(pairs), T.alpha_words))
+    scaled = A.standard_scale(clean, columns).join(sentence, "id")
+    second = M.embedding_pair_classifier(scaled.filter("split = 'train'"), scaled, columns, rounds=5)
+    scores = by_id(M.blend_members(members, second))
+    assert scores.keys() == rows.keys() and all(0 <= r["score"] <= 1 for r in scores.values())
