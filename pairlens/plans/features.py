@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from pairlens.functions import text as T
 from pairlens.operators import corpus, fuzzy, graph, nouns, vectors, words
