@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairlens.llm import bpe, secret_scan
 from pairlens.llm.exact import exact_groups
 from pairlens.llm.sharding import shard_rows
 
@@ -14,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(spark: SparkSession, name: str) -> bpe.Tokenizer:
+    return bpe.Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = _tokenizer(spark, "byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -24,7 +35,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = _tokenizer(spark, "byte_bpe_50k.tiktoken")
+    return secret_scan.span_report(secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), tokenizer))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
 }
