@@ -8,6 +8,18 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to
+FROM f
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_warc": OP2,
     "op4_exact_dedup": OP4,
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairlens.llm import bpe, secret_scan
+from pairlens.llm import bpe, secret_scan, warc
 from pairlens.llm.exact import exact_groups
 from pairlens.llm.sharding import shard_rows
+from pairlens.staging import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return records.drop("payload")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -42,6 +48,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
