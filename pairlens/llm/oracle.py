@@ -19,7 +19,30 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+OP9 = r"""
+WITH words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark)),
+sizes AS (SELECT DISTINCT least(10, len(w)) AS k FROM words WHERE kind = 'i' AND len(w) > 0),
+windows AS (
+  SELECT kind, id, k, s, array_to_string(w[s : s + k - 1], ' ') AS t
+  FROM (SELECT kind, id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+        FROM words, sizes WHERE kind = 'd' OR k = least(10, len(w)))),
+hits AS (
+  SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.s, d.k
+  FROM windows d JOIN windows i ON d.k = i.k AND d.t = i.t WHERE d.kind = 'd' AND i.kind = 'i'),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+           FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+          FROM (SELECT DISTINCT doc_id, item_id::varchar AS item_id FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN places ON places.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'd'
+"""
+
 ORACLE: dict[str, str] = {
     "op2_warc": OP2,
     "op4_exact_dedup": OP4,
+    "op9_decontamination": OP9,
 }
