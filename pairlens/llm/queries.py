@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairlens.llm import bpe, secret_scan, warc
 from pairlens.llm.decontam import decontamination_report
 from pairlens.llm.exact import exact_groups
+from pairlens.llm.language import identify
 from pairlens.llm.sharding import shard_rows
 from pairlens.staging import new_path
 
@@ -47,6 +48,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_report(secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", "n_items",
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
 }
