@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pairlens.llm.common import broadcast_if_small
 from pairlens.staging import stage
 
 END = "\r\n\r\n"
@@ -44,7 +45,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     long_ = F.col("payload_bytes") >= REVISIT_BYTES
     first = stage(rows.filter(long_).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
                   .filter("n > 1").select("digest", "first"), "payloads")
-    met = rows.join(first, "digest", "left")
+    met = rows.join(broadcast_if_small(first), "digest", "left")
     return met.select("page_id", "payload", "digest", "payload_bytes",
                       F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
@@ -153,10 +154,10 @@ def normalise(spark: SparkSession, source: str, path: str) -> DataFrame:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page = lambda urn: int(urn[10:-1]) if urn and len(urn) > 11 else None
-    for batch in batches:
-        rows = []
-        for member in batch.column(0).to_pylist():
-            (record,) = records_of(member)
+    for content, places in ((c.as_py(), p) for batch in batches for c, p in zip(batch.column(0), batch.column(1))):
+        rows, held = [], 0
+        for place in places.as_py():
+            (record,) = records_of(content[place["offset"]:place["offset"] + place["length"]])
             head, _, rest = record.partition(b"\r\n\r\n")
             fields, payload = _fields(head), rest[:-4]
             digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
@@ -164,10 +165,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"{fields['warc-record-id']}: the payload differs from its digest")
             rows.append((page(fields["warc-record-id"]), size, digest, fields["warc-type"],
                          page(fields.get("warc-refers-to")), payload if fields["warc-type"] == "response" else None))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                         ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            held += len(payload)
+            if held > BATCH_BYTES:
+                yield _record_batch(rows)
+                rows, held = [], 0
+        yield _record_batch(rows)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(),
+             "refers_to": pa.int64(), "payload": pa.binary()}
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
 def read_archives(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
@@ -177,8 +186,9 @@ def read_archives(spark: SparkSession, path: str, index: DataFrame) -> DataFrame
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives").select(
         F.regexp_extract("path", "/file=([^/]+)/", 1).alias("file"), "content")
-    at = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
-    return index.join(files, "file").select(at.alias("member")).mapInArrow(_parse, RECORDS)
+    # One row a file, so that a file's content meets its places once.
+    places = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
+    return files.join(places.hint("merge"), "file").select("content", "places").mapInArrow(_parse, RECORDS)
 
 
 def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
