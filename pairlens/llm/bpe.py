@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType
 
 LEAF_BYTES = 16
 #: Distinct pieces a Python worker remembers before it starts anew; bounds its memory.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 200_000
 NEVER = 1 << 62
 #: White space as the tokenizer's regular expressions have it (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
