@@ -1,12 +1,51 @@
-"""placeholder"""
+"""Near duplicates by an inverted join of signature coordinates.
+
+A document is the set of its distinct runs of `words` words, and its signature holds the least
+value of COORDINATES hash functions over that set. Two sets of Jaccard similarity s agree in a
+coordinate with probability s, so pairs that are linked (similarity of 80 % or more) agree in
+MATCHES coordinates or more but for a chance below 10^-7.
+
+* Documents with one set are one class; only classes are compared.
+* A class is posted under each of its (coordinate, value) pairs. Pairs no other class has are
+  dropped. Prefix: of the rest, ordered from rare to frequent, all but the last MATCHES - 1 are
+  kept; two classes that agree in MATCHES coordinates meet in a kept list. Classes left with
+  nothing are never looked at again.
+* Lists are merged by their hub, the class of the list that comes first in a fixed random order:
+  all members of the lists of a hub make up one group, each class once, so that frequent lists
+  of the same classes cost what one of them costs.
+* In a group collisions are counted coordinate by coordinate. Skip: classes already
+  connected are not compared again, nor sets whose sizes alone rule a link out. Pairs with
+  MATCHES collisions are confirmed on their full sets. Only links that connect something new
+  leave the task, so a group gives fewer rows than it has classes.
+
+Every pair of a list is in the group of its hub, so no link between two components is missed. A
+group of more than GROUP_CLASSES classes or GROUP_BYTES is split into blocks, and every two blocks
+meet in a task of their own.
+
+Shingles are compared by 64-bit hashes of their words.
+"""
+
 from __future__ import annotations
+
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pairlens.llm.common import select_rows
+from pairlens.llm.groups import components, consecutive
+from pairlens.staging import stage
 
 WORDS = 5
+PERCENT = 80
 COORDINATES = 64
-MEMO_WORDS = 500_000
-_MASK = (1 << 64) - 1
+MATCHES = 32
+GROUP_CLASSES = 4096
+GROUP_BYTES = 64 << 20
+MEMO_WORDS = 200_000
+SKETCH = "rid long, row_key long, n_shingles long, class binary, tokens array<long>"
 
 
 class _WordHashes(dict):
@@ -17,33 +56,188 @@ class _WordHashes(dict):
         return value
 
 
-def mixed(x):
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_hashes(data: bytes, words: int, memo) -> np.ndarray:
+def shingle_set(data: bytes, words: int, memo: dict) -> np.ndarray:
+    """Sorted hashes of the distinct runs of `words` words; of all words if there are fewer; none without words.
+
+    A to Z are lower-cased, and space, tab, newline, vertical tab, form feed and return part words.
+    """
     w = data.lower().split()
-    if not w: return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+    if not w:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
     k = min(words, len(w))
     n = len(w) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
-        out = mixed(out + h[i:i + n])
+        out = _mixed(out + hashes[i:i + n])
     return np.unique(out)
 
 
-def multipliers(k, seed=7):
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, k, dtype=np.uint64)
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 63, (2, COORDINATES), dtype=np.uint64)
+    return a * np.uint64(2) + np.uint64(1), b
 
 
-def signature(shingles, a, b):
-    best = None
+def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least value of each hash function, 32 bits each; blocks of shingles bound the memory."""
+    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
-        v = (shingles[at:at + 2048, None] * a + b) >> np.uint64(32)
-        low = v.min(axis=0)
-        best = low if best is None else np.minimum(best, low)
-    return best
+        low = np.minimum(low, (shingles[at:at + 2048, None] * a + b).min(axis=0))
+    return low >> np.uint64(32)
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _shingled(docs: DataFrame, words: int, full: bool) -> DataFrame:
+    """`docs(rid, row_key, data)` as SKETCH, or as `(class, n_shingles, shingles)` with the full sets."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (a, b) = _WordHashes(), _multipliers()
+        lane = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
+        for batch in batches:
+            *ids, data = batch.columns
+            sizes, names, made = [], [], []
+            for text in data:
+                shingles = shingle_set(text.as_py() or b"", words, memo)
+                sizes.append(len(shingles))
+                names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                if full:
+                    made.append(shingles.tobytes())
+                else:
+                    made.append((lane | signature(shingles, a, b)).view(np.int64) if len(shingles) else None)
+            sizes, names = pa.array(sizes, pa.int64()), pa.array(names, pa.binary())
+            if full:
+                yield pa.RecordBatch.from_arrays([names, sizes, pa.array(made, pa.binary())], ["class", "n_shingles", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays([*ids, sizes, names, pa.array(made, pa.list_(pa.int64()))],
+                                                 ["rid", "row_key", "n_shingles", "class", "tokens"])
+
+    return docs.mapInArrow(sketch, "class binary, n_shingles long, shingles binary" if full else SKETCH)
+
+
+def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """`(token, rep)` for the kept coordinates of each class of `classes(rep, tokens)`, staged."""
+    tokens = classes.select("rep", F.explode("tokens").alias("token"))
+    shared = stage(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "shared-coordinates")
+    held = tokens.join(shared, "token").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
+    keep = F.size("held") - (matches - 1)
+    return stage(held.filter(keep > 0).select("rep", F.explode(F.slice("held", F.lit(1), keep)).alias("h"))
+                 .select("h.token", "rep"), "postings")
+
+
+def hub_members(postings: DataFrame) -> DataFrame:
+    """Distinct `(hub, rep)`: the members of all lists that share a hub, the hub itself included; staged."""
+    order = F.struct(F.xxhash64("rep").alias("place"), F.col("rep"))
+    lists = stage(postings.groupBy("token").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+                  .select("token", F.col("first.rep").alias("hub")), "hubs")
+    return stage(postings.join(lists, "token").select("hub", "rep").distinct(), "hub-members")
+
+
+def group_links(sets: list[np.ndarray], collide: np.ndarray, matches: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that connect the sets, each between two that were not connected before.
+
+    `collide` has a signature a row. All pairs of unconnected sets are looked at.
+    """
+    n = len(sets)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    parts = np.split(codes, size.cumsum()[:-1])
+    mine = np.zeros(codes.max() + 1, bool)
+    label = np.arange(n)
+    for x in range(n - 1):
+        later = np.flatnonzero(label[x + 1:] != label[x]) + x + 1
+        later = later[100 * np.minimum(size[later], size[x]) >= percent * np.maximum(size[later], size[x])]
+        later = later[(collide[later] == collide[x]).sum(axis=1) >= matches]
+        if not len(later):
+            continue
+        mine[parts[x]] = True
+        starts = np.concatenate([[0], size[later].cumsum()[:-1]])
+        common = np.add.reduceat(mine[np.concatenate([parts[y] for y in later])], starts, dtype=np.int64)
+        mine[parts[x]] = False
+        for y in later[100 * common >= percent * (size[later] + size[x] - common)]:
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                yield x, int(y)
+
+
+def _links(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
+    a, b = _multipliers()
+    for group in consecutive(batches, 3):
+        reps, packed = group.column("rep").to_pylist(), group.column("shingles").to_pylist()
+        if len(reps) < 2:
+            continue
+        sets = [np.frombuffer(p, np.uint64) for p in packed]
+        found = list(group_links(sets, np.stack([signature(s, a, b) for s in sets]), matches, percent))
+        yield pa.RecordBatch.from_arrays([pa.array([reps[x] for x, _ in found], pa.int64()),
+                                          pa.array([reps[y] for _, y in found], pa.int64())], ["a", "b"])
+
+
+def class_links(members: DataFrame, sets: DataFrame, matches: int = MATCHES, percent: int = PERCENT,
+                group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Confirmed links `(a, b)` that connect the classes of each group of `members(hub, rep)`."""
+    sized = members.join(sets.select("rep", "n_shingles"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / group_classes), F.ceil(F.sum("n_shingles") * 8 / group_bytes)).cast("int")
+    split = stage(members.join(stage(sized.groupBy("hub").agg(blocks.alias("blocks")), "hub-sizes"), "hub").select(
+        "hub", "rep", "blocks", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "split-hubs")
+    # A class of block b is in the tasks (b, j) and (j, b) of its hub for every block j.
+    pair = lambda b: lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j"))
+    placed = split.select("hub", "rep", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).select("hub", "p.i", "p.j", "rep")
+    full = placed.join(sets.select("rep", "shingles"), "rep").select("hub", "i", "j", F.xxhash64("rep").alias("place"), "rep", "shingles")
+    sorted_ = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "place")
+    return stage(sorted_.mapInArrow(lambda batches: _links(batches, matches, percent), "a long, b long"), "links")
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+                text_col: str = "text", group_classes: int = GROUP_CLASSES) -> DataFrame:
+    """One row per row of `docs`: `rid, row_key, doc_id, n_shingles, class, component_id, component_rid`.
+
+    Rows are linked if 100 * |common shingles| >= percent * |all shingles|, and a component is
+    what links reach. `component_id` is its least doc_id, null ids last, `component_rid` a row
+    that has it. Rows with equal sets are linked. Null and empty texts have no shingles and
+    are alone, each row for itself. Rows that repeat an id are rows of their own. `row_key`
+    names id and text. Other columns are not read.
+    """
+    keyed = docs.select(F.monotonically_increasing_id().alias("rid"), _row_key(id_col, text_col).alias("row_key"),
+                        F.col(text_col).cast("binary").alias("data"), F.col(id_col).alias("doc_id"))
+    # The id goes round the sketching by way of the row key, so that it may be of any type.
+    sketches = stage(_shingled(keyed.select("rid", "row_key", "data"), words, full=False), "sketches")
+    some = sketches.filter("n_shingles > 0")
+    classes = stage(some.groupBy("class").agg(F.min(F.struct("rid", "row_key")).alias("first"), F.min_by("tokens", "rid").alias("tokens"))
+                    .select("class", F.col("first.rid").alias("rep"), F.col("first.row_key").alias("row_key"), "tokens"), "classes")
+    members = hub_members(prefix_postings(classes))
+    wanted = classes.select("class", "rep", "row_key").join(members.select("rep").distinct(), "rep")
+    texts = keyed.select("rid", "row_key", "data").join(wanted.select("row_key").distinct(), "row_key", "left_semi")
+    sets = stage(_shingled(texts.select("rid", "row_key", "data"), words, full=True).dropDuplicates(["class"])
+                 .join(wanted.select("class", "rep"), "class").select("rep", "n_shingles", "shingles"), "sets")
+    labels = components(class_links(members, sets, MATCHES, percent, group_classes))
+    named = classes.select("class", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
+        "class", F.coalesce("label", "rep").alias("label"))
+    rows = sketches.select("rid", "row_key", "n_shingles", "class").join(stage(named, "class-labels"), "class", "left")
+    ids = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id")).distinct()
+    placed = stage(rows.join(ids, "row_key").select(
+        "rid", "row_key", "doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("rid")).alias("label"),
+        (F.col("n_shingles") > 0).alias("some")), "labelled")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))
+    heads = stage(placed.groupBy("some", "label").agg(first.alias("first")).select(
+        "some", "label", F.col("first.doc_id").alias("component_id"), F.col("first.rid").alias("component_rid")), "components")
+    return placed.join(heads, ["some", "label"]).select(
+        "rid", "row_key", "doc_id", "n_shingles", "class", "component_id", "component_rid")
+
+
+def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """One row of each component, that of the least id, with all its columns."""
+    groups = stage(near_groups(docs, words, percent, id_col, text_col), "near-groups")
+    times = groups.groupBy("row_key").agg(
+        F.count("*").alias("times"), F.max(F.col("rid") == F.col("component_rid")).alias("kept")).filter("kept")
+    return select_rows(docs, times, [_row_key(id_col, text_col)], ["row_key"])

@@ -11,6 +11,7 @@ from pairlens.llm import bpe, secret_scan, warc
 from pairlens.llm.decontam import decontamination_report
 from pairlens.llm.exact import exact_groups
 from pairlens.llm.language import identify
+from pairlens.llm.minhash import near_groups
 from pairlens.llm.sharding import shard_rows
 from pairlens.staging import new_path
 
@@ -48,6 +49,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_report(secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), words=2).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op7_minhash": op7_minhash,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
 }
