@@ -13,6 +13,7 @@ from pairlens.llm.exact import exact_groups
 from pairlens.llm.language import identify
 from pairlens.llm.minhash import near_groups
 from pairlens.llm.sharding import shard_rows
+from pairlens.llm.suffix import cut_repeats, repeat_report
 from pairlens.staging import new_path
 
 
@@ -64,6 +65,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(cut_repeats(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -73,4 +78,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
