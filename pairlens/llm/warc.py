@@ -28,7 +28,7 @@ REVISIT_BYTES = 100
 #: Records of a file at most; a task holds one compressed file in memory.
 RECORDS_A_FILE = 4000
 BATCH_BYTES = 4 << 20
-MEMBERS = "file string, ordinal long, offset long, length long, member binary"
+ARCHIVES = "file string, archive binary, offsets array<long>"
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
            "payload binary")
 
@@ -115,41 +115,34 @@ def member_of(record: bytes) -> bytes:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        ordinals, offsets, members = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([file] * len(rows), pa.string()), pa.array(ordinals, pa.int64()), pa.array(offsets, pa.int64()),
-             pa.array(map(len, members), pa.int64()), pa.array(members, pa.binary())],
-            ["file", "ordinal", "offset", "length", "member"])
-
     for streams in batches:
         for file, content in zip(*(c.to_pylist() for c in streams.columns)):
-            rows, offset, held = [], 0, 0
-            for ordinal, record in enumerate(records_of(content)):
-                rows.append((ordinal, offset, member := member_of(record)))
-                offset, held = offset + len(member), held + len(member)
-                if held > BATCH_BYTES:
-                    yield batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield batch(rows)
+            archive, offsets = bytearray(), []
+            for record in records_of(content):
+                offsets.append(len(archive))
+                archive += member_of(record)
+            if offsets:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file]), pa.array([bytes(archive)], pa.binary()), pa.array([offsets], pa.list_(pa.int64()))],
+                    ["file", "archive", "offsets"])
 
 
 def normalise(spark: SparkSession, source: str, path: str) -> DataFrame:
     """Rewrite the archives in `source` to `path/archives`, one for one; the index is in `path/index`.
 
     The index `(file, ordinal, offset, length)` says where each record's member lies in the
-    archive `file=...`. The text writer ends every row with the zero byte all members end in,
-    so that the rows of a file, without it, become exactly the members one after the other.
+    archive `file=...`. The text writer ends a row with a zero byte, which is what the last
+    member ends in, so an archive is written as a row without its last byte.
     """
     streams = spark.read.format("binaryFile").load(source).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    members = stage(streams.mapInArrow(_rewrite, MEMBERS), "warc-members")
-    body = F.substring(F.col("member"), F.lit(1), (F.col("length") - 1).cast("int")).cast("string")
-    (members.repartition("file").sortWithinPartitions("file", "ordinal").select("file", body.alias("value"))
-     .write.partitionBy("file").option("lineSep", "\0").text(f"{path}/archives"))
-    members.select("file", "ordinal", "offset", "length").write.parquet(f"{path}/index")
-    return spark.read.schema("file string, ordinal long, offset long, length long").parquet(f"{path}/index")
+    archives = stage(streams.mapInArrow(_rewrite, ARCHIVES), "warc-archives")
+    body = F.substring(F.col("archive"), F.lit(1), F.octet_length("archive") - 1).cast("string")
+    archives.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", "\0").text(f"{path}/archives")
+    end = F.coalesce(F.get("offsets", F.col("ordinal") + 1), F.col("size"))
+    archives.select("file", "offsets", F.octet_length("archive").cast("long").alias("size"), F.posexplode("offsets").alias("ordinal", "offset")).select(
+        "file", "ordinal", "offset", (end - F.col("offset")).alias("length")).write.parquet(f"{path}/index")
+    return spark.read.schema("file string, ordinal int, offset long, length long").parquet(f"{path}/index")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
