@@ -236,6 +236,7 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", te
     return coded.withColumn("decoded", tokenizer.decode(F.col("ids")))
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """Token counts and digests of `round_trip`, and the columns of it named in `more`."""
+    return coded.select("doc_id", *more, F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,5 +1,19 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from pairlens.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS, TEXTS
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical() -> str:
+    form = f"regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    for pattern, replacement in SPELLINGS:
+        form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
+    form = f"regexp_replace({form}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
+    return f"list_filter(list_transform(string_split({form}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
 OP4 = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -41,8 +55,27 @@ SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM words LEFT JOIN places ON places.doc_id = id LEFT JOIN named ON named.doc_id = id WHERE kind = 'd'
 """
 
+OP6 = f"""
+WITH known AS (
+  SELECT DISTINCT license_id, sha256(array_to_string(lines, ' ')) AS digest
+  FROM (SELECT license_id, {_canonical()} AS lines
+        FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in (*NOTICES, *TEXTS))}) v(license_id, text))
+  WHERE len(lines) > 0),
+forms AS (SELECT doc_id, {_canonical()} AS lines FROM documents),
+wholes AS (SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS digest FROM forms),
+found AS (
+  SELECT doc_id, license_id FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM forms) JOIN known USING (digest))
+SELECT doc_id, digest AS canonical_sha256,
+  coalesce((SELECT string_agg(DISTINCT license_id, ',' ORDER BY license_id) FROM known k WHERE k.digest = w.digest), '') AS whole,
+  coalesce(notices, '') AS notices, coalesce(n_lines, 0) AS n_lines
+FROM wholes w LEFT JOIN (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_lines
+  FROM found GROUP BY doc_id) USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_warc": OP2,
     "op4_exact_dedup": OP4,
+    "op6_license_scan": OP6,
     "op9_decontamination": OP9,
 }

@@ -11,6 +11,7 @@ from pairlens.llm import bpe, secret_scan, warc
 from pairlens.llm.decontam import decontamination_report
 from pairlens.llm.exact import exact_groups
 from pairlens.llm.language import identify
+from pairlens.llm.licenses import scan_licenses
 from pairlens.llm.minhash import near_groups
 from pairlens.llm.sharding import shard_rows
 from pairlens.llm.suffix import cut_repeats, repeat_report
@@ -50,6 +51,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_report(secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), tokenizer))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return scan_licenses(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "canonical_sha256", joined("whole"), joined("notices"), "n_lines")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=2).select(
         "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_license_scan": op6_license_scan,
     "op7_minhash": op7_minhash,
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
