@@ -221,7 +221,10 @@ class Tokenizer:
 
 def unpack(ids: Column) -> Column:
     """Packed ids as an array of integers."""
-    at = lambda i: F.conv(F.hex(F.reverse(F.substring(ids, i * 4 + 1, F.lit(4)))), 16, 10).cast("int")
+    # Bytes are turned round in hexadecimal: reverse() would take them for characters.
+    digits = lambda i: F.hex(F.substring(ids, i * 4 + 1, F.lit(4)))
+    turned = lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+    at = lambda i: F.conv(turned(digits(i)), 16, 10).cast("int")
     n = F.floor(F.octet_length(ids) / 4).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))
 
