@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlens.llm.common import select_rows
@@ -97,30 +98,30 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _shingled(docs: DataFrame, words: int, full: bool) -> DataFrame:
-    """`docs(rid, row_key, data)` as SKETCH, or as `(class, n_shingles, shingles)` with the full sets."""
+def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """`docs(rid, row_key, data)` as SKETCH."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (a, b) = _WordHashes(), _multipliers()
         lane = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
             *ids, data = batch.columns
-            sizes, names, made = [], [], []
-            for text in data:
-                shingles = shingle_set(text.as_py() or b"", words, memo)
-                sizes.append(len(shingles))
-                names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                if full:
-                    made.append(shingles.tobytes())
-                else:
-                    made.append((lane | signature(shingles, a, b)).view(np.int64) if len(shingles) else None)
-            sizes, names = pa.array(sizes, pa.int64()), pa.array(names, pa.binary())
-            if full:
-                yield pa.RecordBatch.from_arrays([names, sizes, pa.array(made, pa.binary())], ["class", "n_shingles", "shingles"])
-            else:
-                yield pa.RecordBatch.from_arrays([*ids, sizes, names, pa.array(made, pa.list_(pa.int64()))],
-                                                 ["rid", "row_key", "n_shingles", "class", "tokens"])
-
-    return docs.mapInArrow(sketch, "class binary, n_shingles long, shingles binary" if full else SKETCH)
+            sets = (shingle_set(text.as_py() or b"", words, memo) for text in data)
+            rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), (lane | signature(s, a, b)).view(np.int64) if len(s) else None)
+                    for s in sets]
+            sizes, names, tokens = zip(*rows) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays(
+                [*ids, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
+                ["rid", "row_key", "n_shingles", "class", "tokens"])
+
+    return docs.mapInArrow(sketch, SKETCH)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        keys, data = batch.columns
+        yield pa.RecordBatch.from_arrays([keys, pa.array([squeeze.compress(d.as_py() or b"") for d in data], pa.binary())],
+                                         ["row_key", "packed"])
 
 
 def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -169,32 +170,38 @@ def group_links(sets: list[np.ndarray], collide: np.ndarray, matches: int, perce
                 yield x, int(y)
 
 
-def _links(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
-    a, b = _multipliers()
+def _links(batches: Iterator[pa.RecordBatch], words: int, matches: int, percent: int) -> Iterator[pa.RecordBatch]:
+    memo, (a, b), unpack = _WordHashes(), _multipliers(), zstandard.ZstdDecompressor()
     for group in consecutive(batches, 3):
-        reps, packed = group.column("rep").to_pylist(), group.column("shingles").to_pylist()
-        if len(reps) < 2:
+        if group.num_rows < 2:
             continue
-        sets = [np.frombuffer(p, np.uint64) for p in packed]
+        reps = group.column("rep").to_pylist()
+        sets = [shingle_set(unpack.decompress(p.as_py()), words, memo) for p in group.column("packed")]
         found = list(group_links(sets, np.stack([signature(s, a, b) for s in sets]), matches, percent))
         yield pa.RecordBatch.from_arrays([pa.array([reps[x] for x, _ in found], pa.int64()),
                                           pa.array([reps[y] for _, y in found], pa.int64())], ["a", "b"])
 
 
-def class_links(members: DataFrame, sets: DataFrame, matches: int = MATCHES, percent: int = PERCENT,
-                group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Confirmed links `(a, b)` that connect the classes of each group of `members(hub, rep)`."""
-    sized = members.join(sets.select("rep", "n_shingles"), "rep")
+def class_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, matches: int = MATCHES,
+                percent: int = PERCENT, group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Confirmed links `(a, b)` that connect the classes of each group of `members(hub, rep)`.
+
+    `classes` is `(rep, row_key, n_shingles)`, `texts` `(row_key, data)`. Texts travel compressed, to
+    their groups only, and sets are made from them where they meet.
+    """
+    known = members.join(classes, "rep")
     blocks = F.greatest(F.ceil(F.count("*") / group_classes), F.ceil(F.sum("n_shingles") * 8 / group_bytes)).cast("int")
-    split = stage(members.join(stage(sized.groupBy("hub").agg(blocks.alias("blocks")), "hub-sizes"), "hub").select(
-        "hub", "rep", "blocks", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block")), "split-hubs")
+    sizes = stage(known.groupBy("hub").agg(blocks.alias("blocks")), "hub-sizes")
+    split = known.join(sizes, "hub").select(
+        "hub", "rep", "row_key", "blocks", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     # A class of block b is in the tasks (b, j) and (j, b) of its hub for every block j.
     pair = lambda b: lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j"))
-    placed = split.select("hub", "rep", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).select("hub", "p.i", "p.j", "rep")
-    full = placed.join(sets.select("rep", "shingles"), "rep").select("hub", "i", "j", F.xxhash64("rep").alias("place"), "rep", "shingles")
+    placed = stage(split.select("hub", "rep", "row_key", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).select("hub", "p.i", "p.j", "rep", "row_key"), "placed")
+    packed = texts.mapInArrow(_pack, "row_key long, packed binary").dropDuplicates(["row_key"])
+    full = placed.join(packed, "row_key").select("hub", "i", "j", F.xxhash64("rep").alias("place"), "rep", "packed")
     sorted_ = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "place")
-    return stage(sorted_.mapInArrow(lambda batches: _links(batches, matches, percent), "a long, b long"), "links")
+    return stage(sorted_.mapInArrow(lambda batches: _links(batches, words, matches, percent), "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -210,16 +217,14 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), _row_key(id_col, text_col).alias("row_key"),
                         F.col(text_col).cast("binary").alias("data"), F.col(id_col).alias("doc_id"))
     # The id goes round the sketching by way of the row key, so that it may be of any type.
-    sketches = stage(_shingled(keyed.select("rid", "row_key", "data"), words, full=False), "sketches")
+    sketches = stage(_sketched(keyed.select("rid", "row_key", "data"), words), "sketches")
     some = sketches.filter("n_shingles > 0")
-    classes = stage(some.groupBy("class").agg(F.min(F.struct("rid", "row_key")).alias("first"), F.min_by("tokens", "rid").alias("tokens"))
-                    .select("class", F.col("first.rid").alias("rep"), F.col("first.row_key").alias("row_key"), "tokens"), "classes")
+    classes = stage(some.groupBy("class").agg(F.min(F.struct("rid", "row_key", "n_shingles")).alias("first"), F.min_by("tokens", "rid").alias("tokens"))
+                    .select("class", F.col("first.rid").alias("rep"), "first.row_key", "first.n_shingles", "tokens"), "classes")
     members = hub_members(prefix_postings(classes))
-    wanted = classes.select("class", "rep", "row_key").join(members.select("rep").distinct(), "rep")
-    texts = keyed.select("rid", "row_key", "data").join(wanted.select("row_key").distinct(), "row_key", "left_semi")
-    sets = stage(_shingled(texts.select("rid", "row_key", "data"), words, full=True).dropDuplicates(["class"])
-                 .join(wanted.select("class", "rep"), "class").select("rep", "n_shingles", "shingles"), "sets")
-    labels = components(class_links(members, sets, MATCHES, percent, group_classes))
+    links = class_links(members, classes.select("rep", "row_key", "n_shingles"), keyed.select("row_key", "data"), words,
+                        MATCHES, percent, group_classes)
+    labels = components(links)
     named = classes.select("class", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "class", F.coalesce("label", "rep").alias("label"))
     rows = sketches.select("rid", "row_key", "n_shingles", "class").join(stage(named, "class-labels"), "class", "left")
