@@ -164,6 +164,8 @@ ORACLE |= {
         f"SELECT id, {CAPS.format('question1')} - {CAPS.format('question2')} AS diff_caps, "
         "contains(lower(question1), 'why')::BIGINT * contains(lower(question2), 'why')::BIGINT AS why_both FROM pairs"),
     "write_predictions": with_pairs(f'SELECT id AS "Id", {r6("fold1")} AS "Score" FROM scores', SCORES),
+    "write_members": with_pairs(
+        "SELECT id, " + ", ".join(f"{r6(f'fold{i}')} AS fold{i}" for i in range(1, 10)) + " FROM scores", SCORES),
     "read_word_vectors_text": with_pairs(
         f"SELECT word, generate_subscripts(vec, 1) - 1 AS pos, {r6('unnest(vec)::FLOAT::DOUBLE')} AS x FROM vectors",
         CLEAN_COUNTS, VECTORS),
@@ -258,11 +260,11 @@ SEQUENCE_COUNTS = COUNTS.format(sequence_words("text"))
 VOCABULARY = "vocabulary AS MATERIALIZED (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) AS idx FROM counts)"
 
 
-def sequences(cap: int) -> str:
+def sequences() -> str:
     return (f"sequences AS (SELECT id, side, list(v.idx ORDER BY pos) AS seq FROM ("
             f"SELECT id, side, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM "
             f"(SELECT id, side, {sequence_words('text')} AS ws FROM cells)) t "
-            f"JOIN vocabulary v ON v.word = t.word AND v.idx < {cap} GROUP BY id, side), "
+            f"JOIN vocabulary v ON v.word = t.word GROUP BY id, side), "
             "shown AS (SELECT id, side, array_to_string(seq, ' ') AS words, "
             "array_to_string(list_concat(list_transform(range(greatest(0, 40 - len(seq))), lambda i: 0), "
             "seq[-40:]), ' ') AS padded FROM sequences)")
@@ -282,9 +284,9 @@ ORACLE |= {
         f"{r6('lo / norm')} AS smallest, 1.0::DOUBLE AS square FROM norms", *TFIDF),
     "tfidf_features": with_pairs(TFIDF_FEATURES, *TFIDF),
     "vocab_index": with_pairs("SELECT word, cnt, idx FROM vocabulary", SEQUENCE_COUNTS, VOCABULARY),
-    "texts_to_sequences": with_pairs(two_sides("shown", "words"), SEQUENCE_COUNTS, VOCABULARY, sequences(200_000)),
+    "texts_to_sequences": with_pairs(two_sides("shown", "words"), SEQUENCE_COUNTS, VOCABULARY, sequences()),
     "pad_sequences": with_pairs(two_sides("shown", "padded").replace("''", f"'{ZEROS}'"),
-                                SEQUENCE_COUNTS, VOCABULARY, sequences(5_000)),
+                                SEQUENCE_COUNTS, VOCABULARY, sequences()),
 }
 
 # Graph ----------------------------------------------------------------------------------------
@@ -463,7 +465,7 @@ ORACLE |= {
         "SELECT " + ", ".join(f"max(({c} IS NULL)::BIGINT) AS {c}" for c in (
             "wc_diff", "wc_ratio", "wc_ratio_unique_stop", "same_start", "char_ratio")) +
         f" FROM (SELECT id, {WORD_SET} FROM sizes)", *SETS),
-    "holdout_split": with_pairs("SELECT id, substr(md5(id || '|4242'), 1, 2) < '1a' AS is_valid FROM pairs"),
+    "holdout_split": with_pairs("SELECT id, ('0x' || substr(md5(id || '|4242'), 1, 13))::BIGINT < round(0.1 * 4503599627370496)::BIGINT AS is_valid FROM pairs"),
     "symmetric_augment": with_pairs(
         "SELECT id, false AS is_swapped, md5(question1) AS q1_md5, md5(question2) AS q2_md5, is_duplicate, 1.0::DOUBLE AS weight FROM pairs "
         "UNION ALL SELECT id, true, md5(question2), md5(question1), is_duplicate, 1.0::DOUBLE FROM pairs"),

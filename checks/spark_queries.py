@@ -162,6 +162,14 @@ def write_predictions(spark, sf_dir):
     return out(spark.read.csv(path, header=True, schema="Id bigint, Score double"))
 
 
+@query
+def write_members(spark, sf_dir):
+    path = new_path(spark, "members")
+    folds = [f"fold{i}" for i in range(1, 10)]
+    S.write_members(_scores(spark, sf_dir).select("id", *folds), path)
+    return out(spark.read.csv(path, header=True, schema="id bigint, " + ", ".join(f"{f} double" for f in folds)))
+
+
 @query
 def read_word_vectors_text(spark, sf_dir):
     path = new_path(spark, "vectors-text")
@@ -249,7 +257,7 @@ def texts_to_sequences(spark, sf_dir):
 
 @query
 def pad_sequences(spark, sf_dir):
-    seq = G.texts_to_sequences(D.pairs(spark, sf_dir), _vocabulary(spark, sf_dir), cap=5_000)
+    seq = G.texts_to_sequences(D.pairs(spark, sf_dir), _vocabulary(spark, sf_dir))
     show = lambda c: F.array_join(G.pad_sequence(F.col(c)).cast("array<string>"), " ")
     return seq.select("id", show("seq1").alias("out1"), show("seq2").alias("out2"))
 
@@ -340,11 +348,6 @@ def fuzz_ratios(spark, sf_dir):
     return out(Z.fuzz_ratios(D.pairs(spark, sf_dir)))
 
 
-@query
-def diff_ratio(spark, sf_dir):
-    return out(Z.diff_ratio(D.pairs(spark, sf_dir)))
-
-
 @query
 def token_set_key(spark, sf_dir):
     normal = D.pairs(spark, sf_dir).select("id", *[Z.normalise(F.col(f"question{n}")).alias(f"n{n}") for n in (1, 2)])
@@ -439,20 +442,20 @@ def _train_and_all(spark, sf_dir):
 @query
 def random_forest(spark, sf_dir):
     train, every = _train_and_all(spark, sf_dir)
-    return out(M.random_forest(train, every, list(A.FEATURES), trees=20, depth=6))
+    return out(M.random_forest(train, every, list(A.FEATURES)))
 
 
 @query
 def gbt_ensemble(spark, sf_dir):
     train, every = _train_and_all(spark, sf_dir)
-    return out(M.gbt_ensemble(train, every, list(A.FEATURES), rounds=3, members=9))
+    return out(M.gbt_ensemble(train, every, list(A.FEATURES)))
 
 
 @query
 def embedding_pair_classifier(spark, sf_dir):
     _, every = _train_and_all(spark, sf_dir)
     scaled = A.standard_scale(every, list(A.FEATURES)).join(_sentence_vectors(spark, sf_dir), "id")
-    return out(M.embedding_pair_classifier(scaled.filter("split = 'train'"), scaled, list(A.FEATURES), rounds=20))
+    return out(M.embedding_pair_classifier(scaled.filter("split = 'train'"), scaled, list(A.FEATURES)))
 
 
 @query

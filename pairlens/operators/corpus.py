@@ -11,7 +11,6 @@ from pairlens.functions.stops import ENGLISH_STOPS
 from pairlens.operators.skew import HOT_KEYS, lookup
 from pairlens.staging import stage
 
-VOCABULARY_CAP = 200_000
 SEQUENCE_LENGTH = 40
 
 
@@ -25,10 +24,15 @@ def question_cells(pairs: DataFrame, fit_on: str = "all") -> DataFrame:
     return pairs.select("id", F.explode(F.array(side(1), side(2))).alias("cell")).select("id", "cell.side", "cell.text")
 
 
+def distinct_cells(cells: DataFrame) -> DataFrame:
+    """Every text once, with the number of cells that hold it: `(text, mentions)`."""
+    return cells.groupBy("text").agg(F.count("*").alias("mentions"))
+
+
 def token_counts(cells: DataFrame, tokens: Callable[[Column], Column] = T.clean_tokens) -> DataFrame:
-    """Occurrences of every word; counted before the shuffle as well as after it."""
-    return (cells.select(F.explode(tokens(F.col("text"))).alias("word"))
-            .groupBy("word").agg(F.count("*").alias("cnt")))
+    """Occurrences of every word in all cells; a text is taken apart once, however many cells hold it."""
+    return (distinct_cells(cells).select("mentions", F.explode(tokens(F.col("text"))).alias("word"))
+            .groupBy("word").agg(F.sum("mentions").alias("cnt")))
 
 
 def word_weights(counts: DataFrame, eps: float = 10_000.0, min_count: float = 2.0) -> DataFrame:
@@ -39,7 +43,8 @@ def word_weights(counts: DataFrame, eps: float = 10_000.0, min_count: float = 2.
 def tfidf_fit(cells: DataFrame, stops: Iterable[str] = ENGLISH_STOPS) -> DataFrame:
     """Document frequency of every 1- and 2-gram; a document is a question cell."""
     terms = F.array_distinct(T.tfidf_terms(F.col("text"), stops))
-    return cells.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return (distinct_cells(cells).select("mentions", F.explode(terms).alias("term"))
+            .groupBy("term").agg(F.sum("mentions").alias("df")))
 
 
 def tfidf_weights(pairs: DataFrame, frequencies: DataFrame, n_documents: int,
@@ -99,19 +104,19 @@ def vocab_index(counts: DataFrame) -> DataFrame:
             .select("word", "cnt", (F.col("offset") + F.col("pos") + 1).alias("idx")))
 
 
-def texts_to_sequences(pairs: DataFrame, vocabulary: DataFrame, cap: int = VOCABULARY_CAP,
+def texts_to_sequences(pairs: DataFrame, vocabulary: DataFrame, cap: int | None = None,
                        hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Both texts as arrays of word numbers; unknown words and numbers from `cap` on are dropped."""
+    """Both texts as arrays of word numbers; unknown words are dropped, and numbers from `cap` on if one is given."""
     placed = pairs.select("id", "question1", "question2").repartition("id")
     rows = (question_cells(placed)
             .select("id", "side", F.posexplode(T.sequence_tokens(F.col("text"))).alias("pos", "word")))
-    known = vocabulary.filter(F.col("idx") < cap)
+    known = vocabulary if cap is None else vocabulary.filter(F.col("idx") < cap)
     found = lookup(rows, known.select("word", "cnt", "idx"), "word", "cnt", hot_keys=hot_keys)
-    item = F.struct("pos", F.col("idx").cast("int").alias("idx"))
+    item = F.struct("pos", "idx")
     ordered = lambda s: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("side") == s, item))), lambda t: t.idx)
     sequences = found.groupBy("id").agg(ordered(1).alias("seq1"), ordered(2).alias("seq2"))
-    empty = F.array().cast("array<int>")
+    empty = F.array().cast("array<bigint>")
     return placed.select("id").join(sequences, "id", "left").select(
         "id", *[F.coalesce(F.col(c), empty).alias(c) for c in ("seq1", "seq2")])
 
@@ -120,4 +125,4 @@ def pad_sequence(sequence: Column, length: int = SEQUENCE_LENGTH) -> Column:
     """The last `length` numbers, zeros on the left."""
     n = F.size(sequence)
     tail = F.slice(sequence, -F.greatest(F.lit(1), F.least(F.lit(length), n)), F.lit(length))
-    return F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(length) - n)), tail)
+    return F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.lit(length) - n)), tail)

@@ -1,12 +1,11 @@
 """Fuzzy similarity of whole texts, scored once per distinct pair of texts.
 
 Normalising, token sorting and token sets are Columns; Arrow UDFs do only what
-no built-in can: the longest common subsequence and the block matcher.
+no built-in can: the longest common subsequence and long edit distances.
 """
 
 from __future__ import annotations
 
-import difflib
 import math
 from collections.abc import Callable
 
@@ -168,11 +167,6 @@ def _fuzz(n1: pd.Series, n2: pd.Series, s1: pd.Series, s2: pd.Series,
     return pd.DataFrame(out, columns=["fuzz_qratio", "fuzz_WRatio"], dtype="int32")
 
 
-@F.pandas_udf(DoubleType())
-def _block_ratio(t1: pd.Series, t2: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(t1, t2)], dtype="float64")
-
-
 def _scored_once(rows: DataFrame, scores: Column, trivial: Column, answer: dict[str, Column],
                  name: str, hot_keys: int) -> DataFrame:
     """Score the distinct text pairs `(t1, t2)` of `rows` and bring the scores back to every id."""
@@ -198,15 +192,6 @@ def fuzz_ratios(pairs: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
                         {"fuzz_qratio": equal, "fuzz_WRatio": equal}, "fuzz", hot_keys)
 
 
-def diff_ratio(pairs: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """`(id, diff_ratio)`: matching-block ratio of the lower-cased texts; two empty texts are equal."""
-    rows = pairs.select("id", F.lower("question1").alias("t1"), F.lower("question2").alias("t2"))
-    t1, t2 = F.col("t1"), F.col("t2")
-    scores = F.struct(_block_ratio(t1, t2).alias("diff_ratio"))
-    return _scored_once(rows, scores, (t1 == t2) | (t1 == "") | (t2 == ""),
-                        {"diff_ratio": F.when(t1 == t2, 1.0).otherwise(0.0)}, "diff", hot_keys)
-
-
 @F.pandas_udf(IntegerType())
 def _long_edits(t1: pd.Series, t2: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else edit_distance(a, b) for a, b in zip(t1, t2)], dtype="Int32")

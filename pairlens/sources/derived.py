@@ -14,6 +14,7 @@ from pairlens.operators import corpus
 from pairlens.operators.skew import lookup, lookup_salted
 from pairlens.staging import stage, staged_once
 
+#: Shorter lines are too common to say that documents belong together.
 LINE_LENGTH = 40
 STEPS = (1, 7)
 ID_BASE = 1 << 31
@@ -31,14 +32,15 @@ def _link_to_first(rows: DataFrame, name: str) -> DataFrame:
             .select("id1", F.col("doc_id").alias("id2")))
 
 
-def pair_ids(docs: DataFrame) -> DataFrame:
+def pair_ids(docs: DataFrame, line_length: int = LINE_LENGTH) -> DataFrame:
+    """Pairs of FIXTURES.md; `line_length` is the least length of a line that links documents (1: every line)."""
     steps = F.explode(F.array(*[F.col("doc_id") + s for s in STEPS]))
     neighbours = docs.select(F.col("doc_id").alias("id1"), steps.alias("id2")).join(
         docs.select(F.col("doc_id").alias("id2")), "id2", "left_semi").select("id1", "id2")
     equal = _link_to_first(docs.select("doc_id", F.md5("text").alias("key")), "equal-texts")
     lines = (docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
              .select("doc_id", F.trim("line").alias("line"))
-             .filter(F.length("line") >= LINE_LENGTH)
+             .filter(F.length("line") >= line_length)
              .select("doc_id", F.md5("line").alias("key")).distinct())
     return neighbours.union(equal).union(_link_to_first(lines, "shared-lines")).distinct()
 
@@ -55,7 +57,9 @@ def build_pairs(docs: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(T.split_words(F.lower(c)))
     known = texts.select("*", words("question1").alias("a"), words("question2").alias("b"))
     overlap = F.try_divide(F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b")))
-    pair_id = F.col("id1") * F.lit(ID_BASE) + F.col("id2")
+    fits = F.col("id1").between(0, ID_BASE - 1) & F.col("id2").between(0, ID_BASE - 1)
+    pair_id = F.when(fits, F.col("id1") * F.lit(ID_BASE) + F.col("id2")).otherwise(
+        F.raise_error(F.lit("a document id does not fit into 31 bits")).cast("bigint"))
     return (known.select(pair_id.alias("id"), "id1", "id2", "question1", "question2",
                          F.coalesce(overlap >= 0.5, F.lit(False)).cast("int").alias("is_duplicate"))
             .withColumn("split", F.when(F.substring(F.md5(F.concat(F.lit("fx"), F.col("id").cast("string"))), 1, 2)

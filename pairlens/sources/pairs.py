@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("id1", T.LongType()), T.StructField("id2", T.LongType()),
@@ -17,16 +17,37 @@ def fill_text(pairs: DataFrame) -> DataFrame:
     return pairs.na.fill(" ", ["question1", "question2"])
 
 
-def read_pairs_csv(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
-    """A headerless CSV of pairs; quotes are doubled inside quoted fields, which may span lines."""
+def _one_line(text: Column) -> Column:
+    """Backslashes, newlines and returns written with a backslash."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _as_written(text: Column) -> Column:
+    lines = lambda part: F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(F.split(text, r"\\\\"), lines), "\\")
+
+
+def read_pairs_csv(spark: SparkSession, path: str, labelled: bool = True, multi_line: bool = False) -> DataFrame:
+    """A headerless CSV of pairs; quotes are doubled inside quoted fields. A malformed row is an error.
+
+    By default every record is one line, as `write_pairs_csv` writes it, and large files are
+    split. Files of other origin, in which texts may span lines and a backslash is nothing
+    special, are read with `multi_line`, a task a file.
+    """
     schema = PAIR_SCHEMA if labelled else UNLABELLED_SCHEMA
-    pairs = fill_text(spark.read.csv(path, schema=schema, quote='"', escape='"', multiLine=True))
+    pairs = spark.read.csv(path, schema=schema, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST",
+                           lineSep=None if multi_line else "\n")
+    if not multi_line:
+        pairs = pairs.withColumns({c: _as_written(F.col(c)) for c in ("question1", "question2")})
+    pairs = fill_text(pairs)
     return pairs if labelled else pairs.withColumn("is_duplicate", F.lit(None).cast("int"))
 
 
 def write_pairs_csv(pairs: DataFrame, path: str, labelled: bool = True) -> None:
+    """One line a record; newlines inside texts are written with a backslash."""
     columns = (PAIR_SCHEMA if labelled else UNLABELLED_SCHEMA).fieldNames()
-    pairs.select(columns).write.csv(path, quote='"', escape='"', quoteAll=True,
+    lines = pairs.withColumns({c: _one_line(F.col(c)) for c in ("question1", "question2")})
+    lines.select(columns).write.csv(path, quote='"', escape='"', quoteAll=True,
                                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
@@ -36,8 +57,9 @@ def union_corpus(train: DataFrame, test: DataFrame) -> DataFrame:
             .unionByName(test.withColumn("split", F.lit("test")), allowMissingColumns=True))
 
 
-def load_pairs(spark: SparkSession, train_path: str, test_path: str) -> DataFrame:
-    return union_corpus(read_pairs_csv(spark, train_path), read_pairs_csv(spark, test_path, labelled=False))
+def load_pairs(spark: SparkSession, train_path: str, test_path: str, multi_line: bool = False) -> DataFrame:
+    return union_corpus(read_pairs_csv(spark, train_path, multi_line=multi_line),
+                        read_pairs_csv(spark, test_path, labelled=False, multi_line=multi_line))
 
 
 def read_feature_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:

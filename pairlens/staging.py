@@ -23,7 +23,9 @@ def staging_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
-    return _local_root.setdefault(context.applicationId, tempfile.mkdtemp(prefix="pairlens-"))
+    if context.applicationId not in _local_root:
+        _local_root[context.applicationId] = tempfile.mkdtemp(prefix="pairlens-")
+    return _local_root[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,7 @@ def test_pairs_csv_round_trip(spark, pairs):
 
 def test_csv_quotes_and_missing_text(spark, tmp_path):
     (tmp_path / "p.csv").write_text('1,2,3,"a ""quoted"", text","x, y",1\n4,5,6,,"two\nlines",0\n')
-    got = by_id(S.read_pairs_csv(spark, str(tmp_path / "p.csv")))
+    got = by_id(S.read_pairs_csv(spark, str(tmp_path / "p.csv"), multi_line=True))
     assert got[1]["question1"] == 'a "quoted", text' and got[4]["question1"] == " " and got[4]["question2"] == "two\nlines"
 
 
@@ -110,3 +110,36 @@ def test_models_beat_the_base_rate(learnable, fit):
     share = np.mean([r.is_duplicate for r in rows])
     base = -(share * np.log(share) + (1 - share) * np.log(1 - share))
     assert M.log_loss(joined).first()[0] < base
+
+
+@pytest.mark.parametrize("share", [0.001, 0.003, 0.1, 1.0])
+def test_small_holdouts_have_their_share(spark, share):
+    marked = A.holdout_split(spark.range(100_000), share=share).filter("is_valid").count()
+    assert abs(marked - share * 100_000) <= 5 * (share * 100_000) ** 0.5 * (share < 1)
+
+
+def test_boosting_keeps_the_best_round(learnable):
+    assert M.best_round([5, 4, 3, 3.5, 3.2, 3.1], 3) == (3, True) and M.best_round([5, 4, 3, 3.5], 3) == (3, False)
+    fit_on = M.to_vectors(A.holdout_split(learnable, share=0.3), ["f1", "f2"]).select("features", "is_duplicate", "is_valid")
+    params = M.MemberParams(0.5, 5, 0.7, 1)
+    model = M.gbt_member(params, fit_on, 40, seed=1, patience=5)
+    losses = M.GBTClassifier(labelCol="is_duplicate", maxIter=40, stepSize=0.5, maxDepth=5, subsamplingRate=0.7, featureSubsetStrategy="all",
+                             seed=1).fit(fit_on.filter("NOT is_valid")).evaluateEachIteration(fit_on.filter("is_valid"))
+    assert model.getNumTrees == M.best_round(losses, 5)[0] < 40
+
+
+def test_malformed_pairs_are_an_error(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('"1","2","3","a","b","0"\n"x","2","3","a","b","0"\n')
+    with pytest.raises(Exception):
+        S.read_pairs_csv(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_texts_of_several_lines(spark, tmp_path):
+    text = 'one\ntwo\r\n\\n "three" \\\\'
+    pairs = spark.createDataFrame([(1, 2, 3, text, "\\", 0)] * 50, S.PAIR_SCHEMA)
+    S.write_pairs_csv(pairs.repartition(1), f"{tmp_path}/own")
+    got = S.read_pairs_csv(spark, f"{tmp_path}/own").collect()
+    assert len(got) == 50 and {(r.question1, r.question2) for r in got} == {(text, "\\")}
+    (tmp_path / "other.csv").write_text('1,2,3,"a\nb ""c"" \\n",d,1\n')
+    row = S.read_pairs_csv(spark, f"{tmp_path}/other.csv", multi_line=True).first()
+    assert row.question1 == 'a\nb "c" \\n' and row.is_duplicate == 1

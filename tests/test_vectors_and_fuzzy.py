@@ -1,8 +1,8 @@
-import difflib
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,10 +172,21 @@ def test_normalise_drops_latin1_accents(spark):
     assert row.n == "ber  cole_1"
 
 
-def test_block_ratio_and_levenshtein(pairs):
-    diff, lev = by_id(fuzzy.diff_ratio(pairs)), by_id(fuzzy.levenshtein_ratio(pairs))
-    long_way = by_id(fuzzy.levenshtein_ratio(pairs, long_from=1))
-    assert lev == long_way and lev[2]["ratio"] == 1.0 and lev[3]["ratio"] == 0.0
+def test_levenshtein_both_ways(pairs):
+    lev = by_id(fuzzy.levenshtein_ratio(pairs))
+    assert lev == by_id(fuzzy.levenshtein_ratio(pairs, long_from=1)) and lev[2]["ratio"] == 1.0 and lev[3]["ratio"] == 0.0
     for row in pairs.collect():
-        a, b = row.question1.lower(), row.question2.lower()
-        assert diff[row.id]["diff_ratio"] == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
+        a, b = (r["n"] for r in pairs.sparkSession.createDataFrame([(row.question1,), (row.question2,)], "t string").select(
+            fuzzy.normalise(F.col("t")).alias("n")).collect())
+        want = 1 - slow_edits(a, b) / max(len(a), len(b)) if a or b else 0.0
+        assert lev[row.id]["ratio"] == pytest.approx(want)
+
+
+def test_moves_between_long_texts_are_tiled():
+    rng = np.random.RandomState(4)
+    x, y = rng.normal(size=(10_000, 4)), rng.normal(size=(9_000, 4))
+    ones = lambda v: np.ones(len(v))
+    score = lambda: vectors._relaxed_moves.func(*[pd.Series([v]) for v in (ones(x), x.ravel(), ones(y), y.ravel())]).iloc[0]
+    tiled = score()
+    gap = np.array([np.sqrt(((y - v) ** 2).sum(1).min()) for v in x]).mean(), np.array([np.sqrt(((x - v) ** 2).sum(1).min()) for v in y]).mean()
+    assert tiled.wmd == pytest.approx(max(gap))
