@@ -76,6 +76,10 @@ def _shared(spark, sf_dir, name, build):
     return staged_once(spark, f"{sf_dir}/{name}", build)
 
 
+def _texts(spark, sf_dir):
+    return _shared(spark, sf_dir, "texts", lambda: G.distinct_texts(D.pairs(spark, sf_dir)))
+
+
 def _weights(spark, sf_dir):
     return _shared(spark, sf_dir, "weights", lambda: G.word_weights(D.clean_counts(spark, sf_dir)))
 
@@ -85,8 +89,7 @@ def _frequencies(spark, sf_dir):
 
 
 def _tfidf(spark, sf_dir):
-    pairs = D.pairs(spark, sf_dir)
-    return G.tfidf_weights(pairs, _frequencies(spark, sf_dir), 2 * pairs.count())
+    return G.tfidf_weights(_texts(spark, sf_dir), _frequencies(spark, sf_dir), 2 * D.pairs(spark, sf_dir).count())
 
 
 def _counts(spark, sf_dir, name, tokens):
@@ -232,15 +235,16 @@ def tfidf_fit(spark, sf_dir):
 
 @query
 def tfidf_transform(spark, sf_dir):
-    rows = G.tfidf_transform(_tfidf(spark, sf_dir))
-    return out(rows.groupBy("id", "side").agg(
+    per_text = G.tfidf_transform(_tfidf(spark, sf_dir)).groupBy("key").agg(
         F.count("*").alias("terms"), F.sum("weight").alias("total"), F.max("weight").alias("largest"),
-        F.min("weight").alias("smallest"), F.sum(F.col("weight") * F.col("weight")).alias("square")))
+        F.min("weight").alias("smallest"), F.sum(F.col("weight") * F.col("weight")).alias("square"))
+    cells = _cells(spark, sf_dir).select("id", "side", F.md5("text").alias("key"))
+    return out(cells.join(per_text, "key").drop("key"))
 
 
 @query
 def tfidf_features(spark, sf_dir):
-    return out(G.tfidf_features(D.pairs(spark, sf_dir), _tfidf(spark, sf_dir)))
+    return out(G.tfidf_features(D.pairs(spark, sf_dir), _texts(spark, sf_dir), _tfidf(spark, sf_dir)))
 
 
 @query

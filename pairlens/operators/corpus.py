@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from pairlens.functions import text as T
 from pairlens.functions.stops import ENGLISH_STOPS
-from pairlens.operators.skew import HOT_KEYS, lookup
+from pairlens.operators.skew import HOT_KEYS, lookup, lookup_salted
 from pairlens.staging import stage
 
 SEQUENCE_LENGTH = 40
@@ -24,6 +24,34 @@ def question_cells(pairs: DataFrame, fit_on: str = "all") -> DataFrame:
     return pairs.select("id", F.explode(F.array(side(1), side(2))).alias("cell")).select("id", "cell.side", "cell.text")
 
 
+def distinct_texts(pairs: DataFrame) -> DataFrame:
+    """Every text of the pairs once: `(key, text, mentions)`, written out. The key is the MD5 of the text."""
+    cells = distinct_cells(question_cells(pairs.select("id", "question1", "question2")))
+    return stage(cells.select(F.md5("text").alias("key"), "text", "mentions"), "texts")
+
+
+def attach_texts(pairs: DataFrame, per_text: DataFrame, columns: dict[str, tuple[str, str]], hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Columns of `per_text(key, mentions, ...)` for both texts: `{column: (name for q1, name for q2)}`.
+
+    Every text has a row. Columns that may be wide belong in `attach_wide`.
+    """
+    rows = pairs.select("id", F.md5("question1").alias("k1"), F.md5("question2").alias("k2"))
+    for i in (0, 1):
+        table = per_text.select(F.col("key").alias(f"k{i + 1}"), F.col("mentions").alias("_freq"),
+                                *[F.col(c).alias(names[i]) for c, names in columns.items()])
+        rows = lookup(rows, table, f"k{i + 1}", "_freq", hot_keys=hot_keys)
+    return rows.drop("k1", "k2")
+
+
+def attach_wide(pairs: DataFrame, per_text: DataFrame, column: str, names: tuple[str, str], hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The same for one column whose values grow with the text; hot texts are dealt over salts, never broadcast."""
+    rows = pairs.select("id", F.md5("question1").alias("k1"), F.md5("question2").alias("k2"))
+    for i, name in enumerate(names, 1):
+        table = per_text.select(F.col("key").alias(f"k{i}"), F.col("mentions").alias("_freq"), F.col(column).alias(name))
+        rows = lookup_salted(rows, table, f"k{i}", "_freq", spread=F.col("id"), hot_keys=hot_keys)
+    return rows.drop("k1", "k2")
+
+
 def distinct_cells(cells: DataFrame) -> DataFrame:
     """Every text once, with the number of cells that hold it: `(text, mentions)`."""
     return cells.groupBy("text").agg(F.count("*").alias("mentions"))
@@ -47,43 +75,40 @@ def tfidf_fit(cells: DataFrame, stops: Iterable[str] = ENGLISH_STOPS) -> DataFra
             .groupBy("term").agg(F.sum("mentions").alias("df")))
 
 
-def tfidf_weights(pairs: DataFrame, frequencies: DataFrame, n_documents: int,
+def tfidf_weights(texts: DataFrame, frequencies: DataFrame, n_documents: int,
                   stops: Iterable[str] = ENGLISH_STOPS, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Raw tf-idf `(id, side, term, tf, w)`, before the norm.
+    """Raw tf-idf `(key, term, tf, w)` of distinct texts, before the norm.
 
-    Whole texts are placed by id first: the terms are then counted and summed
+    Whole texts are placed by key first: the terms are then counted and summed
     where they are, and only rare terms travel to meet their frequency.
     """
-    cells = question_cells(pairs.select("id", "question1", "question2").repartition("id"))
-    rows = cells.select("id", "side", F.explode(T.tfidf_terms(F.col("text"), stops)).alias("term"))
-    counted = lambda df: df.groupBy("id", "side", "term").agg(F.count("*").alias("tf"))
+    rows = texts.select("key", "text").repartition("key").select("key", F.explode(T.tfidf_terms(F.col("text"), stops)).alias("term"))
+    counted = lambda df: df.groupBy("key", "term").agg(F.count("*").alias("tf"))
     found = lookup(rows, frequencies.select("term", "df", F.col("df").alias("freq")), "term", "freq",
                    hot_keys=hot_keys, shrink=counted)
     idf = F.log((1.0 + F.lit(n_documents)) / (1.0 + F.col("df"))) + 1.0
-    return found.select("id", "side", "term", "tf", (F.col("tf") * idf).alias("w"))
+    return found.select("key", "term", "tf", (F.col("tf") * idf).alias("w"))
 
 
 def tfidf_transform(weights: DataFrame) -> DataFrame:
-    """Unit-length rows: `(id, side, term, weight)`."""
-    norm = weights.groupBy("id", "side").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norm, ["id", "side"]).select("id", "side", "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def tfidf_features(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Sum, mean and number of the normalised weights of both texts, 0 for empty texts."""
-    aggregates = []
-    for side in (1, 2):
-        w = F.when(F.col("side") == side, F.col("w"))
-        aggregates += [F.sum(w).alias(f"s{side}"), F.sum(w * w).alias(f"ss{side}"), F.count(w).alias(f"n{side}")]
-    sums = weights.groupBy("id").agg(*aggregates)
+    """Unit-length rows: `(key, term, weight)`."""
+    norm = weights.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_features(pairs: DataFrame, texts: DataFrame, weights: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Sum, mean and number of the normalised weights of both texts, 0 for empty texts.
+
+    Three numbers per distinct text, which the pairs look up.
+    """
+    sums = weights.groupBy("key").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("ss"), F.count("*").alias("n"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    total = {s: F.try_divide(F.col(f"s{s}"), F.sqrt(f"ss{s}")) for s in (1, 2)}
-    joined = pairs.select("id").join(sums, "id", "left")
-    return joined.select(
-        "id",
-        *[zero(total[s]).alias(f"z_tfidf_sum{s}") for s in (1, 2)],
-        *[zero(F.try_divide(total[s], F.col(f"n{s}"))).alias(f"z_tfidf_mean{s}") for s in (1, 2)],
-        *[F.coalesce(F.col(f"n{s}"), F.lit(0)).alias(f"z_tfidf_len{s}") for s in (1, 2)])
+    total = F.try_divide("s", F.sqrt("ss"))
+    per_text = stage(texts.select("key", "mentions").join(sums, "key", "left").select(
+        "key", "mentions", zero(total).alias("sum"), zero(F.try_divide(total, F.col("n"))).alias("mean"),
+        F.coalesce("n", F.lit(0).cast("bigint")).alias("len")), "tfidf-texts")
+    named = attach_texts(pairs, per_text, {c: (f"z_tfidf_{c}1", f"z_tfidf_{c}2") for c in ("sum", "mean", "len")}, hot_keys)
+    return named.select("id", *[f"z_tfidf_{c}{i}" for c in ("sum", "mean", "len") for i in (1, 2)])
 
 
 def vocab_index(counts: DataFrame) -> DataFrame:
@@ -107,18 +132,17 @@ def vocab_index(counts: DataFrame) -> DataFrame:
 def texts_to_sequences(pairs: DataFrame, vocabulary: DataFrame, cap: int | None = None,
                        hot_keys: int = HOT_KEYS) -> DataFrame:
     """Both texts as arrays of word numbers; unknown words are dropped, and numbers from `cap` on if one is given."""
-    placed = pairs.select("id", "question1", "question2").repartition("id")
-    rows = (question_cells(placed)
-            .select("id", "side", F.posexplode(T.sequence_tokens(F.col("text"))).alias("pos", "word")))
+    texts = distinct_texts(pairs)
+    rows = texts.select("key", "text").repartition("key").select(
+        "key", F.posexplode(T.sequence_tokens(F.col("text"))).alias("pos", "word"))
     known = vocabulary if cap is None else vocabulary.filter(F.col("idx") < cap)
     found = lookup(rows, known.select("word", "cnt", "idx"), "word", "cnt", hot_keys=hot_keys)
-    item = F.struct("pos", "idx")
-    ordered = lambda s: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("side") == s, item))), lambda t: t.idx)
-    sequences = found.groupBy("id").agg(ordered(1).alias("seq1"), ordered(2).alias("seq2"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda t: t.idx)
+    sequences = found.groupBy("key").agg(ordered.alias("seq"))
     empty = F.array().cast("array<bigint>")
-    return placed.select("id").join(sequences, "id", "left").select(
-        "id", *[F.coalesce(F.col(c), empty).alias(c) for c in ("seq1", "seq2")])
+    per_text = stage(texts.select("key", "mentions").join(sequences, "key", "left").select(
+        "key", "mentions", F.coalesce("seq", empty).alias("seq")), "sequences")
+    return attach_wide(pairs, per_text, "seq", ("seq1", "seq2"), hot_keys)
 
 
 def pad_sequence(sequence: Column, length: int = SEQUENCE_LENGTH) -> Column:

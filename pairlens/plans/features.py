@@ -24,7 +24,8 @@ def feature_table(pairs: DataFrame, word_vectors: DataFrame, lexicon: DataFrame,
     tokens = words.clean_pairs(pairs)
     weights = stage(corpus.word_weights(corpus.token_counts(cells)), "word-weights")
     frequencies = stage(corpus.tfidf_fit(cells), "term-frequencies")
-    tfidf = corpus.tfidf_weights(pairs, frequencies, cells.count())
+    texts = corpus.distinct_texts(pairs)
+    tfidf = corpus.tfidf_weights(texts, frequencies, cells.count())
 
     multi = stage(graph.multi_edges(pairs), "multi-edges")
     nodes = stage(graph.graph_nodes(multi), "nodes")
@@ -37,7 +38,7 @@ def feature_table(pairs: DataFrame, word_vectors: DataFrame, lexicon: DataFrame,
         node_features, graph.common_neighbours(pairs, overlaps),
         words.surface_features(pairs), words.word_set_features(tokens), words.word_match_share(tokens, weights),
         nouns.noun_match(pairs, lexicon, counts(T.word_runs, "run-counts")),
-        corpus.tfidf_features(pairs, tfidf), fuzzy.fuzz_ratios(pairs),
+        corpus.tfidf_features(pairs, texts, tfidf), fuzzy.fuzz_ratios(pairs),
         vectors.relaxed_wmd(pairs, word_vectors, counts(T.plain_words, "plain-counts")),
         vectors.vector_distances(sentence),
     ]

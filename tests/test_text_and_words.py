@@ -97,7 +97,8 @@ def test_tfidf_features(spark, hot_keys):
     import math
     df = spark.createDataFrame([(1, "red fish", "red"), (2, "blue", "")], "id long, question1 string, question2 string")
     frequencies = corpus.tfidf_fit(corpus.question_cells(df))
-    got = by_id(corpus.tfidf_features(df, corpus.tfidf_weights(df, frequencies, 4, hot_keys=hot_keys)))
+    texts = corpus.distinct_texts(df)
+    got = by_id(corpus.tfidf_features(df, texts, corpus.tfidf_weights(texts, frequencies, 4, hot_keys=hot_keys)))
     red, rare = math.log(5 / 3) + 1, math.log(5 / 2) + 1
     assert got[1]["z_tfidf_len1"] == 3 and got[1]["z_tfidf_sum2"] == 1.0
     assert got[1]["z_tfidf_sum1"] == pytest.approx((red + 2 * rare) / math.sqrt(red ** 2 + 2 * rare ** 2))
