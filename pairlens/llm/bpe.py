@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
+from pairlens.llm.common import pieces
+
 LEAF_BYTES = 16
 #: Distinct pieces a Python worker remembers before it starts anew; bounds its memory.
 MEMO_PIECES = 200_000
@@ -197,10 +199,11 @@ class Tokenizer:
         lines, pattern, leaf = self.parts
 
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            packed, pieces = worker(lines.value, leaf), splitter(pattern).findall
-            for texts in batches:
-                yield pd.Series([b"".join(map(packed.__getitem__, pieces(t.decode("utf-8", "surrogateescape"))))
+            packed, split = worker(lines.value, leaf), splitter(pattern).findall
+            for texts in pieces(batches):
+                yield pd.Series([b"".join(map(packed.__getitem__, split(t.decode("utf-8", "surrogateescape"))))
                                  for t in texts], dtype=object)
+            packed.clear()  # the worker may go on with other work
 
         encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(encoded, BinaryType())(F.coalesce(text, F.lit("")).cast("binary"))
@@ -211,7 +214,7 @@ class Tokenizer:
 
         def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             token = worker(lines.value, leaf).bpe.token
-            for rows in batches:
+            for rows in pieces(batches):
                 yield pd.Series([None if r is None else b"".join(
                     map(token.__getitem__, memoryview(r).cast("I") if len(r) else ())) for r in rows], dtype=object)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Rows of a table that may be broadcast; counted before it is, larger tables are shuffled.
@@ -21,6 +24,13 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def pieces(batches: Iterator[pd.Series], rows: int = 256) -> Iterator[pd.Series]:
+    """The same rows in smaller parts, so that what a function makes of whole texts is handed on early."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 

@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairlens.llm.common import pieces
+
 STEPS = 48
 UNITS = 8
 #: Training sample: documents of a language, stretches of a document. Nothing else is learned from.
@@ -218,7 +220,7 @@ def fit(sample: list, rounds: int = ROUNDS, seed: int = 0) -> Network:
 def predict(text: Column, network: Network) -> Column:
     """`(lang_pred, score)`: the likeliest language and its probability; `und` and 0 without a letter or a language."""
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in pieces(batches):
             p = network.document_probabilities(list(texts))
             best = p.argmax(axis=1)
             yield pd.DataFrame({"lang_pred": [network.languages[b] for b in best],

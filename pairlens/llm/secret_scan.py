@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlens.llm.bpe import Tokenizer, splitter, worker
+from pairlens.llm.common import pieces
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 KINDS = ("assign", "access", "hex", "random")
@@ -78,9 +79,9 @@ def secret_spans(text: Column, tokenizer: Tokenizer) -> Column:
     lines, pattern, leaf = tokenizer.parts
 
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        packed, pieces = worker(lines.value, leaf), splitter(pattern).findall
-        tokens_of = lambda s: sum(len(packed[p]) for p in pieces(s)) / 4
-        for texts in batches:
+        packed, split = worker(lines.value, leaf), splitter(pattern).findall
+        tokens_of = lambda s: sum(len(packed[p]) for p in split(s)) / 4
+        for texts in pieces(batches):
             rows = []
             for data in texts:
                 base = base_spans(data)
