@@ -410,7 +410,6 @@ ORACLE |= {
 
 # Fuzzy and nouns ------------------------------------------------------------------------------
 
-ASCII = r"regexp_replace({}, '[^\x00-\x7F]', '?', 'g')"
 SPLIT_NORMAL = (f"word_sets AS (SELECT id, list_distinct({split_words(normal('question1'))}) AS a, "
                 f"list_distinct({split_words(normal('question2'))}) AS b FROM pairs)",
                 "parts AS (SELECT id, array_to_string(list_sort(list_intersect(a, b)), ' ') AS common, "
@@ -430,7 +429,7 @@ ORACLE |= {
     "levenshtein_ratio": with_pairs(
         f"SELECT id, CASE WHEN len = 0 THEN 0 WHEN n1 = n2 THEN 1 ELSE {r6('1 - levenshtein(n1, n2) / len')} END AS ratio FROM "
         "(SELECT id, n1, n2, greatest(length(n1), length(n2)) AS len FROM "
-        f"(SELECT id, {ASCII.format(normal('question1'))} AS n1, {ASCII.format(normal('question2'))} AS n2 FROM pairs))"),
+        f"(SELECT id, {normal('question1')} AS n1, {normal('question2')} AS n2 FROM pairs))"),
     "question_nouns": with_pairs(two_sides("nouns", "words"), RUN_COUNTS, *NOUNS),
     "noun_match": with_pairs(
         "SELECT id, coalesce(n, 0) AS noun_match FROM pairs LEFT JOIN (SELECT id, count(*) AS n FROM noun_rows a "

@@ -360,9 +360,7 @@ def token_set_key(spark, sf_dir):
 
 @query
 def levenshtein_ratio(spark, sf_dir):
-    # Other characters become one ASCII sign, as SQL engines differ in what they count.
-    ascii_only = lambda t: F.regexp_replace(Z.normalise(t), r"[^\x00-\x7F]", "?")
-    return out(Z.levenshtein_ratio(D.pairs(spark, sf_dir), ascii_only))
+    return out(Z.levenshtein_ratio(D.pairs(spark, sf_dir)))
 
 
 # Nouns ----------------------------------------------------------------------------------------

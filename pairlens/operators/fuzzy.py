@@ -20,6 +20,8 @@ from pairlens.staging import stage
 # Weights and length limits of the weighted ratio.
 TOKEN_WEIGHT, PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT = 0.95, 0.90, 0.60
 PARTIAL_FROM, FAR_FROM = 1.5, 8.0
+#: Products of text lengths a task is given to score: some seconds of work, whatever its number of bytes.
+COST_OF_A_TASK = 2_000_000_000
 
 
 def normalise(text: Column) -> Column:
@@ -173,9 +175,12 @@ def _scored_once(rows: DataFrame, scores: Column, trivial: Column, answer: dict[
     key = F.md5(F.concat_ws("|", F.md5("t1"), F.md5("t2")))
     keyed = rows.select("id", "t1", "t2", key.alias("pair_key"), trivial.alias("trivial"))
     hard = keyed.filter(~F.col("trivial"))
-    distinct = hard.groupBy("pair_key").agg(F.any_value("t1").alias("t1"), F.any_value("t2").alias("t2"),
-                                            F.count("*").alias("copies"))
-    scored = stage(distinct.select("pair_key", "copies", scores.alias("s")).select("pair_key", "copies", "s.*"), name)
+    distinct = stage(hard.groupBy("pair_key").agg(F.any_value("t1").alias("t1"), F.any_value("t2").alias("t2"),
+                                                  F.count("*").alias("copies")), f"{name}-pairs")
+    # Tasks are cut by what scoring costs, the product of the lengths, and not by bytes.
+    cost = distinct.agg(F.sum(F.length("t1").cast("double") * F.length("t2"))).first()[0] or 0.0
+    dealt = distinct.repartition(max(1, math.ceil(cost / COST_OF_A_TASK)), "pair_key")
+    scored = stage(dealt.select("pair_key", "copies", scores.alias("s")).select("pair_key", "copies", "s.*"), name)
     found = lookup(hard.select("id", "pair_key"), scored, "pair_key", "copies", hot_keys=hot_keys).drop("pair_key")
     easy = keyed.filter("trivial").select("id", *[c.alias(n) for n, c in answer.items()])
     return found.unionByName(easy)
@@ -197,7 +202,8 @@ def _long_edits(t1: pd.Series, t2: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else edit_distance(a, b) for a, b in zip(t1, t2)], dtype="Int32")
 
 
-def levenshtein_ratio(pairs: DataFrame, normal: Callable[[Column], Column] = normalise, long_from: int = 128) -> DataFrame:
+def levenshtein_ratio(pairs: DataFrame, normal: Callable[[Column], Column] = normalise, long_from: int = 128,
+                      hot_keys: int = HOT_KEYS) -> DataFrame:
     """`(id, ratio)`: 1 - edits / longer length of the normalised texts; 0 when both are empty.
 
     Short texts use the built-in distance, whose time is the product of the two
@@ -206,10 +212,8 @@ def levenshtein_ratio(pairs: DataFrame, normal: Callable[[Column], Column] = nor
     t1, t2 = F.col("t1"), F.col("t2")
     rows = pairs.select("id", normal(F.col("question1")).alias("t1"), normal(F.col("question2")).alias("t2"))
     longest = F.greatest(F.length(t1), F.length(t2))
-    asked = rows.select("id", longest.alias("longest"), (t1 == t2).alias("equal"), *[
-        F.when((t1 != t2) & condition, t).alias(f"{name}{i}")
-        for name, condition in (("short", longest < long_from), ("long", longest >= long_from))
-        for i, t in ((1, t1), (2, t2))])
-    edits = F.coalesce(F.levenshtein("short1", "short2"), _long_edits("long1", "long2"))
-    ratio = F.when(F.col("longest") == 0, 0.0).when(F.col("equal"), 1.0).otherwise(1.0 - edits / F.col("longest"))
-    return asked.select("id", ratio.alias("ratio"))
+    when = lambda condition: [F.when(condition, t) for t in (t1, t2)]
+    edits = F.coalesce(F.levenshtein(*when(longest < long_from)), _long_edits(*when(longest >= long_from)))
+    scores = F.struct((1.0 - edits / longest).alias("ratio"))
+    return _scored_once(rows, scores, (t1 == t2) | (t1 == "") | (t2 == ""),
+                        {"ratio": F.when((t1 == t2) & (t1 != ""), 1.0).otherwise(0.0)}, "levenshtein", hot_keys)
