@@ -42,6 +42,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's staging area that nothing will read any more."""
+    own = f"{staging_root(spark)}/pairlens-{spark.sparkContext.applicationId}/"
+    if not path.startswith(own) or path == own:
+        raise ValueError(f"{path} is not a staged table of this application")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def staged_once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Stage a table shared by several queries of one application."""
     slot = (spark.sparkContext.applicationId, key)
