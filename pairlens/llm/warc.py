@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairlens.llm.common import broadcast_if_small
-from pairlens.staging import stage
+from pairlens.staging import discard, new_path, stage
 
 END = "\r\n\r\n"
 #: Payload bytes from which equal payloads are written once.
@@ -136,12 +136,15 @@ def normalise(spark: SparkSession, source: str, path: str) -> DataFrame:
     """
     streams = spark.read.format("binaryFile").load(source).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    archives = stage(streams.mapInArrow(_rewrite, ARCHIVES), "warc-archives")
+    between = new_path(spark, "warc-archives")
+    streams.mapInArrow(_rewrite, ARCHIVES).write.parquet(between)
+    archives = spark.read.schema(ARCHIVES).parquet(between)
     body = F.substring(F.col("archive"), F.lit(1), F.octet_length("archive") - 1).cast("string")
     archives.select("file", body.alias("value")).write.partitionBy("file").option("lineSep", "\0").text(f"{path}/archives")
     end = F.coalesce(F.get("offsets", F.col("ordinal") + 1), F.col("size"))
     archives.select("file", "offsets", F.octet_length("archive").cast("long").alias("size"), F.posexplode("offsets").alias("ordinal", "offset")).select(
         "file", "ordinal", "offset", (end - F.col("offset")).alias("length")).write.parquet(f"{path}/index")
+    discard(spark, between)  # archives and index are complete
     return spark.read.schema("file string, ordinal int, offset long, length long").parquet(f"{path}/index")
 
 
@@ -194,6 +197,8 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", html_col
     table gives no records. Other columns are not read.
     """
     spark = pages.sparkSession
-    write_archives(plan_records(pages, id_col, html_col), f"{path}/streams")
-    index = normalise(spark, f"{path}/streams", path)
+    streams = new_path(spark, "warc-streams")
+    write_archives(plan_records(pages, id_col, html_col), streams)
+    index = normalise(spark, streams, path)
+    discard(spark, streams)  # the normalised archives take their place
     return read_archives(spark, path, index)
