@@ -177,6 +177,11 @@ def worker(lines: bytes, leaf: int) -> _Packed:
     return _workers[key]
 
 
+def decoded_bytes(packed: bytes, token: dict[int, bytes]) -> bytes:
+    """The tokens of packed ids one after the other; joining is associative, so any grouping gives the same."""
+    return b"".join(map(token.__getitem__, memoryview(packed).cast("I"))) if packed else b""
+
+
 class Tokenizer:
     """A vocabulary of ranks and a splitting pattern, shipped to the tasks once.
 
@@ -208,6 +213,20 @@ class Tokenizer:
         encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(encoded, BinaryType())(F.coalesce(text, F.lit("")).cast("binary"))
 
+    def encode_and_decode(self, text: Column) -> Column:
+        """`(ids, decoded)` in one pass: the ids as `encode` gives them, and what `decode` makes of them."""
+        lines, pattern, leaf = self.parts
+
+        def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            packed, split = worker(lines.value, leaf), splitter(pattern).findall
+            for texts in pieces(batches):
+                ids = [b"".join(map(packed.__getitem__, split(t.decode("utf-8", "surrogateescape")))) for t in texts]
+                yield pd.DataFrame({"ids": ids, "decoded": [decoded_bytes(i, packed.bpe.token) for i in ids]}, dtype=object)
+            packed.clear()
+
+        coded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        return F.pandas_udf(coded, "ids binary, decoded binary")(F.coalesce(text, F.lit("")).cast("binary"))
+
     def decode(self, ids: Column) -> Column:
         """The bytes of packed ids; null stays null."""
         lines, _, leaf = self.parts
@@ -215,8 +234,7 @@ class Tokenizer:
         def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             token = worker(lines.value, leaf).bpe.token
             for rows in pieces(batches):
-                yield pd.Series([None if r is None else b"".join(
-                    map(token.__getitem__, memoryview(r).cast("I") if len(r) else ())) for r in rows], dtype=object)
+                yield pd.Series([None if r is None else decoded_bytes(r, token) for r in rows], dtype=object)
 
         decoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(decoded, BinaryType())(ids)
@@ -238,8 +256,8 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", te
     Null text is empty: no ids. Repeated rows give repeated rows, an empty table an empty
     one. Other columns are not read.
     """
-    coded = docs.select(F.col(id_col).alias("doc_id"), tokenizer.encode(F.col(text_col)).alias("ids"))
-    return coded.withColumn("decoded", tokenizer.decode(F.col("ids")))
+    coded = docs.select(F.col(id_col).alias("doc_id"), tokenizer.encode_and_decode(F.col(text_col)).alias("c"))
+    return coded.select("doc_id", "c.ids", "c.decoded")
 
 
 def digests(coded: DataFrame, *more: str) -> DataFrame:

@@ -73,6 +73,8 @@ def test_unpack(spark, tokenizer, reference):
     coded = spark.createDataFrame([("tokens of a text",), ("",)], "text string").select("text", tokenizer.encode(F.col("text")).alias("p"))
     row, empty = coded.select("text", bpe.unpack(F.col("p")).alias("i")).orderBy(F.desc("text")).collect()
     assert empty.i == []
+    back = coded.select("text", tokenizer.decode(F.col("p")).alias("d")).collect()
+    assert all(bytes(r.d) == r.text.encode() for r in back)
     assert row.i == reference.encode_ordinary("tokens of a text")
 
 
