@@ -1,9 +1,10 @@
 """Near duplicates by an inverted join of signature coordinates.
 
-A document is the set of its distinct runs of `words` words, and its signature holds the least
-value of COORDINATES hash functions over that set. Two sets of Jaccard similarity s agree in a
-coordinate with probability s, so pairs that are linked (similarity of 80 % or more) agree in
-MATCHES coordinates or more but for a chance below 10^-7.
+A document is the set of its distinct runs of `words` words. A coordinate of its signature is made
+of the least values of two hash functions over that set, so that two sets of Jaccard similarity s
+agree in a coordinate with probability s^2: often if they are alike, hardly ever if they only
+share frequent words. Of COORDINATES coordinates, pairs that are linked (similarity of 80 % or
+more) agree in MATCHES or more but for a chance below 10^-7.
 
 * Documents with one set are one class; only classes are compared.
 * A class is posted under each of its (coordinate, value) pairs. Pairs no other class has are
@@ -42,7 +43,7 @@ from pairlens.staging import stage
 WORDS = 5
 PERCENT = 80
 COORDINATES = 64
-MATCHES = 32
+MATCHES = 20
 GROUP_CLASSES = 4096
 GROUP_BYTES = 64 << 20
 MEMO_WORDS = 200_000
@@ -82,16 +83,16 @@ def shingle_set(data: bytes, words: int, memo: dict) -> np.ndarray:
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 1 << 63, (2, COORDINATES), dtype=np.uint64)
+    a, b = rng.integers(0, 1 << 63, (2, 2 * COORDINATES), dtype=np.uint64)
     return a * np.uint64(2) + np.uint64(1), b
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least value of each hash function, 32 bits each; blocks of shingles bound the memory."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        low = np.minimum(low, (shingles[at:at + 2048, None] * a + b).min(axis=0))
-    return low >> np.uint64(32)
+    """The coordinates, 32 bits each; blocks of shingles bound the memory."""
+    low = np.full(2 * COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        low = np.minimum(low, (shingles[at:at + 1024, None] * a + b).min(axis=0))
+    return _mixed(low[::2] + _mixed(low[1::2])) >> np.uint64(32)
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
