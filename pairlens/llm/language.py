@@ -250,7 +250,13 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                       min_score: float = 0.0) -> DataFrame:
-    """The rows of `docs` in a language that can be told, with all their columns."""
+    """The rows of `docs` in a language that can be told, with all their columns.
+
+    Where no row can be learned from (no labels, or all of them on rows that are held out), no
+    language can be told from another: every row with a letter stays, whatever `min_score` is.
+    """
     network = fit(training_sample(docs, id_col, text_col, lang_col))
+    if not network.languages:
+        return docs.filter(has_letter(F.col(text_col)))
     p = predict(F.col(text_col), network)
     return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= min_score))

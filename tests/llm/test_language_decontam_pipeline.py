@@ -79,6 +79,15 @@ def test_language_edge_rows(edge, nothing):
         t for _, t, _ in EDGE if t and any(c.isalpha() for c in t))
 
 
+def test_without_labels_to_learn_from_every_text_with_a_letter_stays(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
+    texts = [(i, t) for i, t in zip(held, ["A clean line.", "Straße", "漢字", "12 34 !", "", None])]
+    for lang, min_score in ((None, 0.0), ("en", 0.0), (None, 0.5)):  # no labels; labels on held-out rows alone
+        docs = spark.createDataFrame([(i, t, lang) for i, t in texts], "doc_id long, text string, lang string")
+        kept = language.drop_unidentified(docs, min_score=min_score)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == held[:3]
+
+
 def words(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
