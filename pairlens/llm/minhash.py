@@ -4,7 +4,8 @@ A document is the set of its distinct runs of `words` words. A coordinate of its
 of the least values of two hash functions over that set, so that two sets of Jaccard similarity s
 agree in a coordinate with probability s^2: often if they are alike, hardly ever if they only
 share frequent words. Of COORDINATES coordinates, pairs that are linked (similarity of 80 % or
-more) agree in MATCHES or more but for a chance below 10^-7.
+more) agree in MATCHES or more but for a chance below 10^-7. For another similarity both numbers
+follow from that chance (`plan`).
 
 * Documents with one set are one class; only classes are compared.
 * A class is posted under each of its (coordinate, value) pairs. Pairs no other class has are
@@ -29,6 +30,7 @@ Shingles are compared by 64-bit hashes of their words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,9 @@ WORDS = 5
 PERCENT = 80
 COORDINATES = 64
 MATCHES = 20
+#: Chance that a pair at the limit of similarity is missed, and the most coordinates spent on keeping it so low.
+MISS = 1e-7
+MOST_COORDINATES = 1024
 GROUP_CLASSES = 4096
 GROUP_BYTES = 64 << 20
 MEMO_WORDS = 200_000
@@ -81,15 +86,36 @@ def shingle_set(data: bytes, words: int, memo: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+def miss_chance(percent: int, coordinates: int, matches: int) -> float:
+    """Chance that two sets of this similarity agree in fewer than `matches` coordinates."""
+    p = (percent / 100) ** 2
+    return sum(comb(coordinates, k) * p ** k * (1 - p) ** (coordinates - k) for k in range(matches))
+
+
+def plan(percent: int) -> tuple[int, int]:
+    """`(coordinates, matches)` that miss a pair at `percent` with a chance below MISS; the most matches of the fewest coordinates."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
+    coordinates = COORDINATES
+    while miss_chance(percent, coordinates, 1) >= MISS:
+        coordinates *= 2
+        if coordinates > MOST_COORDINATES:
+            raise ValueError(f"pairs of {percent} % would be missed with a chance above {MISS} by {MOST_COORDINATES} coordinates")
+    matches = 1
+    while matches < coordinates and miss_chance(percent, coordinates, matches + 1) < MISS:
+        matches += 1
+    return coordinates, matches
+
+
+def _multipliers(coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 1 << 63, (2, 2 * COORDINATES), dtype=np.uint64)
+    a, b = rng.integers(0, 1 << 63, (2, 2 * coordinates), dtype=np.uint64)
     return a * np.uint64(2) + np.uint64(1), b
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The coordinates, 32 bits each; blocks of shingles bound the memory."""
-    low = np.full(2 * COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         low = np.minimum(low, (shingles[at:at + 1024, None] * a + b).min(axis=0))
     return _mixed(low[::2] + _mixed(low[1::2])) >> np.uint64(32)
@@ -99,11 +125,11 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def _sketched(docs: DataFrame, words: int) -> DataFrame:
+def _sketched(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> DataFrame:
     """`docs(rid, row_key, data)` as SKETCH."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (a, b) = _WordHashes(), _multipliers()
-        lane = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
+        memo, (a, b) = _WordHashes(), _multipliers(coordinates)
+        lane = np.arange(coordinates, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
             *ids, data = batch.columns
             sets = (shingle_set(text.as_py() or b"", words, memo) for text in data)
@@ -171,8 +197,9 @@ def group_links(sets: list[np.ndarray], collide: np.ndarray, matches: int, perce
                 yield x, int(y)
 
 
-def _links(batches: Iterator[pa.RecordBatch], words: int, matches: int, percent: int) -> Iterator[pa.RecordBatch]:
-    memo, (a, b), unpack = _WordHashes(), _multipliers(), zstandard.ZstdDecompressor()
+def _links(batches: Iterator[pa.RecordBatch], words: int, matches: int, percent: int,
+           coordinates: int = COORDINATES) -> Iterator[pa.RecordBatch]:
+    memo, (a, b), unpack = _WordHashes(), _multipliers(coordinates), zstandard.ZstdDecompressor()
     for group in consecutive(batches, 3):
         if group.num_rows < 2:
             continue
@@ -184,7 +211,8 @@ def _links(batches: Iterator[pa.RecordBatch], words: int, matches: int, percent:
 
 
 def class_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, matches: int = MATCHES,
-                percent: int = PERCENT, group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+                percent: int = PERCENT, group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES,
+                coordinates: int = COORDINATES) -> DataFrame:
     """Confirmed links `(a, b)` that connect the classes of each group of `members(hub, rep)`.
 
     `classes` is `(rep, row_key, n_shingles)`, `texts` `(row_key, data)`. Texts travel compressed, to
@@ -202,7 +230,7 @@ def class_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
     packed = texts.mapInArrow(_pack, "row_key long, packed binary").dropDuplicates(["row_key"])
     full = placed.join(packed, "row_key").select("hub", "i", "j", F.xxhash64("rep").alias("place"), "rep", "packed")
     sorted_ = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "place")
-    return stage(sorted_.mapInArrow(lambda batches: _links(batches, words, matches, percent), "a long, b long"), "links")
+    return stage(sorted_.mapInArrow(lambda batches: _links(batches, words, matches, percent, coordinates), "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
@@ -213,18 +241,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     what links reach. `component_id` is its least doc_id, null ids last, `component_rid` a row
     that has it. Rows with equal sets are linked. Null and empty texts have no shingles and
     are alone, each row for itself. Rows that repeat an id are rows of their own. `row_key`
-    names id and text. Other columns are not read.
+    names id and text. Other columns are not read. A `percent` so low that a pair at it would
+    be missed with a chance of MISS or more is an error.
     """
+    coordinates, matches = plan(percent)
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), _row_key(id_col, text_col).alias("row_key"),
                         F.col(text_col).cast("binary").alias("data"), F.col(id_col).alias("doc_id"))
     # The id goes round the sketching by way of the row key, so that it may be of any type.
-    sketches = stage(_sketched(keyed.select("rid", "row_key", "data"), words), "sketches")
+    sketches = stage(_sketched(keyed.select("rid", "row_key", "data"), words, coordinates), "sketches")
     some = sketches.filter("n_shingles > 0")
     classes = stage(some.groupBy("class").agg(F.min(F.struct("rid", "row_key", "n_shingles")).alias("first"), F.min_by("tokens", "rid").alias("tokens"))
                     .select("class", F.col("first.rid").alias("rep"), "first.row_key", "first.n_shingles", "tokens"), "classes")
-    members = hub_members(prefix_postings(classes))
+    members = hub_members(prefix_postings(classes, matches))
     links = class_links(members, classes.select("rep", "row_key", "n_shingles"), keyed.select("row_key", "data"), words,
-                        MATCHES, percent, group_classes)
+                        matches, percent, group_classes, coordinates=coordinates)
     labels = components(links)
     named = classes.select("class", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "class", F.coalesce("label", "rep").alias("label"))

@@ -54,6 +54,28 @@ def test_components_hold_against_all_pairs(spark, words, group_classes):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(shingles(t, words)) for t in texts]
 
 
+@pytest.mark.parametrize("percent", [50, 40])
+def test_pairs_at_a_low_limit_are_found(spark, percent):
+    share = {50: (20, 10), 40: (20, 15)}[percent]  # words in common, and words that only one of the two has
+    texts = []
+    for i in range(40):
+        common = [f"c{i}x{k}" for k in range(share[0])]
+        texts += [" ".join(common + [f"{side}{i}y{k}" for k in range(share[1])]) for side in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(docs, 1, percent).collect()}
+    assert [got[i] for i in range(80)] == brute_components(texts, 1, percent) == [i - i % 2 for i in range(80)]
+
+
+def test_plan_keeps_the_chance_of_a_miss():
+    assert minhash.plan(80) == (minhash.COORDINATES, minhash.MATCHES)
+    for percent in (13, 30, 50, 60, 70, 90, 100):
+        coordinates, matches = minhash.plan(percent)
+        assert matches >= 1 and minhash.miss_chance(percent, coordinates, matches) < minhash.MISS
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            minhash.plan(percent)
+
+
 def test_near_edge_rows(edge, nothing):
     got = minhash.near_groups(edge, words=2).collect()
     assert len(got) == len(EDGE) and minhash.near_groups(nothing).count() == 0
