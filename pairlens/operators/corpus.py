@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from pairlens.functions import text as T
 from pairlens.functions.stops import ENGLISH_STOPS
 from pairlens.operators.skew import HOT_KEYS, lookup, lookup_salted
+from pairlens.sources.pairs import fill_text
 from pairlens.staging import stage
 
 SEQUENCE_LENGTH = 40
@@ -25,17 +26,21 @@ def question_cells(pairs: DataFrame, fit_on: str = "all") -> DataFrame:
 
 
 def distinct_texts(pairs: DataFrame) -> DataFrame:
-    """Every text of the pairs once: `(key, text, mentions)`, written out. The key is the MD5 of the text."""
-    cells = distinct_cells(question_cells(pairs.select("id", "question1", "question2")))
+    """Every text of the pairs once: `(key, text, mentions)`, written out. The key is the MD5 of the text, a missing one being a space."""
+    cells = distinct_cells(question_cells(fill_text(pairs).select("id", "question1", "question2")))
     return stage(cells.select(F.md5("text").alias("key"), "text", "mentions"), "texts")
 
 
+def _text_keys(pairs: DataFrame) -> DataFrame:
+    return fill_text(pairs).select("id", F.md5("question1").alias("k1"), F.md5("question2").alias("k2"))
+
+
 def attach_texts(pairs: DataFrame, per_text: DataFrame, columns: dict[str, tuple[str, str]], hot_keys: int = HOT_KEYS) -> DataFrame:
     """Columns of `per_text(key, mentions, ...)` for both texts: `{column: (name for q1, name for q2)}`.
 
-    Every text has a row. Columns that may be wide belong in `attach_wide`.
+    Every text of `distinct_texts` has a row, so every id comes back. Columns that may be wide belong in `attach_wide`.
     """
-    rows = pairs.select("id", F.md5("question1").alias("k1"), F.md5("question2").alias("k2"))
+    rows = _text_keys(pairs)
     for i in (0, 1):
         table = per_text.select(F.col("key").alias(f"k{i + 1}"), F.col("mentions").alias("_freq"),
                                 *[F.col(c).alias(names[i]) for c, names in columns.items()])
@@ -45,7 +50,7 @@ def attach_texts(pairs: DataFrame, per_text: DataFrame, columns: dict[str, tuple
 
 def attach_wide(pairs: DataFrame, per_text: DataFrame, column: str, names: tuple[str, str], hot_keys: int = HOT_KEYS) -> DataFrame:
     """The same for one column whose values grow with the text; hot texts are dealt over salts, never broadcast."""
-    rows = pairs.select("id", F.md5("question1").alias("k1"), F.md5("question2").alias("k2"))
+    rows = _text_keys(pairs)
     for i, name in enumerate(names, 1):
         table = per_text.select(F.col("key").alias(f"k{i}"), F.col("mentions").alias("_freq"), F.col(column).alias(name))
         rows = lookup_salted(rows, table, f"k{i}", "_freq", spread=F.col("id"), hot_keys=hot_keys)

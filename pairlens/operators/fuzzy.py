@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from pairlens.functions.text import SPACE
 from pairlens.operators.skew import HOT_KEYS, lookup
+from pairlens.sources.pairs import fill_text
 from pairlens.staging import stage
 
 # Weights and length limits of the weighted ratio.
@@ -189,7 +190,7 @@ def _scored_once(rows: DataFrame, scores: Column, trivial: Column, answer: dict[
 def fuzz_ratios(pairs: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
     """`(id, fuzz_qratio, fuzz_WRatio)` in 0..100; a text that normalises to nothing scores 0."""
     n1, n2 = F.col("t1"), F.col("t2")
-    rows = pairs.select("id", normalise(F.col("question1")).alias("t1"), normalise(F.col("question2")).alias("t2"))
+    rows = fill_text(pairs).select("id", normalise(F.col("question1")).alias("t1"), normalise(F.col("question2")).alias("t2"))
     parts = token_set_parts(n1, n2)
     scores = _fuzz(n1, n2, token_sort_key(n1), token_sort_key(n2), parts["common"], parts["rest1"], parts["rest2"])
     equal = F.when((n1 == n2) & (n1 != ""), 100).otherwise(0)
@@ -204,13 +205,13 @@ def _long_edits(t1: pd.Series, t2: pd.Series) -> pd.Series:
 
 def levenshtein_ratio(pairs: DataFrame, normal: Callable[[Column], Column] = normalise, long_from: int = 128,
                       hot_keys: int = HOT_KEYS) -> DataFrame:
-    """`(id, ratio)`: 1 - edits / longer length of the normalised texts; 0 when both are empty.
+    """`(id, ratio)`: 1 - edits / longer length of the normalised texts; 0 when both are empty or missing.
 
     Short texts use the built-in distance, whose time is the product of the two
     lengths; long ones the bit-parallel form, which takes a 64th of that.
     """
     t1, t2 = F.col("t1"), F.col("t2")
-    rows = pairs.select("id", normal(F.col("question1")).alias("t1"), normal(F.col("question2")).alias("t2"))
+    rows = fill_text(pairs).select("id", normal(F.col("question1")).alias("t1"), normal(F.col("question2")).alias("t2"))
     longest = F.greatest(F.length(t1), F.length(t2))
     when = lambda condition: [F.when(condition, t) for t in (t1, t2)]
     edits = F.coalesce(F.levenshtein(*when(longest < long_from)), _long_edits(*when(longest >= long_from)))
