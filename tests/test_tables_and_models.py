@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,9 @@ def test_texts_of_several_lines(spark, tmp_path):
     (tmp_path / "other.csv").write_text('1,2,3,"a\nb ""c"" \\n",d,1\n')
     row = S.read_pairs_csv(spark, f"{tmp_path}/other.csv", multi_line=True).first()
     assert row.question1 == 'a\nb "c" \\n' and row.is_duplicate == 1
+
+
+def test_default_sizes_are_those_of_the_source():
+    assert inspect.signature(M.random_forest).parameters["trees"].default == 1000
+    rounds = inspect.signature(M.gbt_ensemble).parameters["rounds"].default
+    assert rounds == 2500 and M.best_round([1.0] * rounds, M.PATIENCE) == (1, True)
