@@ -10,6 +10,8 @@ Columns only: no Python runs on the rows.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairlens.llm.common import broadcast_if_small
@@ -76,6 +78,28 @@ Permission is granted to anyone to use this software for any purpose, including
 )
 
 
+# Longer texts, in `license_texts`, as their authors publish them.
+FILES = ("Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+"""
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """TEXTS, FILES, and BSD with two and three clauses, with and without a title, numbered or not."""
+    read = lambda name: pkgutil.get_data("pairlens.llm", f"license_texts/{name}.txt").decode()
+    bsd = [(f"BSD-{n}-Clause", "\n".join([*title, BSD_HEAD, *[f"{mark(i)} {c}\n" for i, c in enumerate(BSD_CLAUSES[:n], 1)], BSD_END]))
+           for n in (2, 3) for title in ([f"BSD {n}-Clause License\n"], []) for mark in (lambda i: f"{i}.", lambda i: "*")]
+    return [*TEXTS, *((name, read(name)) for name in FILES), *bsd]
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text that have anything left, in order; none for null."""
     form = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
@@ -90,7 +114,7 @@ def digest_of(lines: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*NOTICES, *TEXTS], "license_id string, text string")
+    return spark.createDataFrame([*NOTICES, *whole_texts()], "license_id string, text string")
 
 
 def registry(licenses: DataFrame) -> DataFrame:

@@ -60,3 +60,11 @@ def test_licenses(spark, edge, nothing):
     assert licenses.scan_licenses(edge).count() == edge.count() and licenses.scan_licenses(nothing).count() == 0
     own = spark.createDataFrame([("X", "one two three four"), ("none", "?!")], "license_id string, text string")
     assert licenses.scan_licenses(edge, own).filter(F.size("whole") > 0).count() == 4
+
+
+def test_common_whole_texts_are_known(spark):
+    texts = licenses.whole_texts()
+    assert {n for n, _ in texts} >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"}
+    docs = spark.createDataFrame([(i, "  " + t.upper()) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.whole for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [[n] for n, _ in texts]
