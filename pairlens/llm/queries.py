@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlens.llm import bpe, secret_scan, warc
+from pairlens.llm.collocations import collocations
 from pairlens.llm.decontam import decontamination_report
 from pairlens.llm.exact import exact_groups
+from pairlens.llm.filter_audit import audit_filters
 from pairlens.llm.language import identify
 from pairlens.llm.licenses import scan_licenses
 from pairlens.llm.minhash import near_groups
+from pairlens.llm.ngram_join import join_documents
 from pairlens.llm.sharding import shard_rows
 from pairlens.llm.suffix import cut_repeats, repeat_report
 from pairlens.staging import new_path
@@ -76,6 +79,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(cut_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -87,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
+    "op13_ngram_join": op13_ngram_join,
 }
