@@ -1,21 +1,24 @@
 """Similar documents by a set join on word n-grams, vertically partitioned.
 
 A document is the set of its distinct runs of `words` words; documents with one set are one class, and only
-classes are compared. The n-grams have one global order: frequent ones last, and by a 64-bit hash among themselves.
-
-* Prefixes. Two sets whose similarity is `percent` or more share one of the first n - ceil(percent * n / 100) + 1
-  n-grams of either in any global order. Classes are posted under these. An n-gram on more than FREQUENT postings
-  goes behind all others, and the classes that were posted under it post the n-grams that come up in its place: a
-  passage that many documents share leaves their prefixes unless it is nearly all they hold. Any set of frequent
-  n-grams makes an order, so no pair is missed, whenever this stops.
+classes are compared. The n-grams have one global order: frequent ones last, and by a hash among themselves. That order
+is cut into fragments, overlaps are counted in each fragment by itself, and summed for each pair.
+
+* The first fragment of a set is its prefix: n - ceil(percent * n / 100) + 1 n-grams. Two sets as similar as `percent`
+  share one of the n-grams of their prefixes in any global order. Classes are posted under these.
+* Frequent n-grams. One on more than FREQUENT postings, and on more than a HOT_GRAMS-th of all, goes behind all others, and
+  prefixes that held it are drawn anew: a passage that many documents share leaves their prefixes unless it is
+  nearly all they hold. Any set of frequent n-grams makes an order, so no pair is missed, whichever they are.
 * Groups. The lists are merged by their hub, the first class of a list in a fixed order. A group of more than
   GROUP_CLASSES classes or GROUP_BYTES is cut into blocks, and every two blocks are a task.
-* Vertical partitions. A task cuts the global order into fragments by ranges of the hash. In each fragment it counts
-  the partial overlaps of all pairs at once, adds them to the sums of the pairs, and lets go of classes none of whose
-  pairs can reach the limit with all that is left of both sets. Only n-grams that two classes hold are laid out.
+* Partial overlaps of the prefixes are counted first, for all pairs of a task at once, from prefixes alone. With all that
+  is left of both sets behind its prefix, a pair of texts that share a passage cannot reach the limit any more.
+* Only for classes that still have a pair do texts travel. The rest of the order is cut into FRAGMENTS by ranges of the
+  hash; each adds its partial overlaps to the sums of the pairs, and after each, classes are let go whose pairs cannot
+  reach the limit. Only n-grams that two classes hold are laid out.
 * Of the pairs that reach the limit, those that connect something new leave the task: fewer than classes.
 
-N-grams are compared by 64-bit hashes of their words.
+N-grams are compared by 63-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -35,9 +38,11 @@ from pairlens.staging import stage
 
 WORDS = 5
 PERCENT = 80
-#: Postings beyond which an n-gram counts as frequent, and how often prefixes are drawn anew at most.
+#: Postings beyond which an n-gram counts as frequent, the share of all beyond which it is known to all tasks (fewer
+#: than HOT_GRAMS can have it).
 FREQUENT = 64
-ROUNDS = 2
+HOT_GRAMS = 100_000
+LATE = np.uint64(1 << 63)
 FRAGMENTS = 8
 GROUP_CLASSES = 1024
 GROUP_BYTES = 32 << 20
@@ -50,18 +55,30 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def gram_set(text: bytes, words: int, memo: dict) -> np.ndarray:
+    """The n-grams of a text in order of their hashes, each once; the top bit is free to mark frequent ones."""
+    return np.unique(shingle_set(text, words, memo) >> np.uint64(1))
+
+
+def prefix_of(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first n-grams of a set in the global order, in that order."""
+    late = np.isin(grams, frequent)
+    ordered = np.concatenate([grams[~late], grams[late] | LATE]) if late.any() else grams
+    return ordered[:prefix_length(len(grams), percent)]
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """`docs(rid, doc_id, data)` with the size and a digest of the set, its prefix in order of the hashes, and the text packed."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, squeeze = _WordHashes(), zstandard.ZstdCompressor(level=1)
+        memo, squeeze, none = _WordHashes(), zstandard.ZstdCompressor(level=1), np.empty(0, np.uint64)
         for batch in batches:
             rid, doc_id, data = batch.columns
             rows = []
             for value in data:
                 text = value.as_py() or b""
-                s = shingle_set(text, words, memo)
-                prefix = s[:prefix_length(len(s), percent)]
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), prefix.view(np.int64), squeeze.compress(text)))
+                grams = gram_set(text, words, memo)
+                rows.append((len(grams), xxhash.xxh3_128_digest(grams.tobytes()), prefix_of(grams, none, percent).view(np.int64),
+                             squeeze.compress(text)))
             sizes, names, prefixes, packed = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [rid, doc_id, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
@@ -74,40 +91,34 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(build, schema)
 
 
-def _unpacked(texts: DataFrame, words: int) -> DataFrame:
-    """`texts(rep, packed)` as `(rep, tokens)`: the whole set in order of the hashes."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, reader = _WordHashes(), zstandard.ZstdDecompressor()
-        for batch in batches:
-            sets = [shingle_set(reader.decompress(p.as_py()), words, memo).view(np.int64) for p in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "tokens"])
-
-    return texts.mapInArrow(unpack, "rep long, tokens array<long>")
-
-
-def prefix_postings(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT,
-                    frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
-    """`(token, rep)` of the prefixes of `classes(rep, prefix)`, without lists of one; `texts` is `(rep, packed)`."""
-    postings = classes.select(F.explode("prefix").alias("token"), "rep")
-    late = None
-    for turn in range(rounds + 1):
-        shared = stage(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), f"shared-grams-{turn}")
-        hot = shared.filter(F.col("n") > frequent).select("token")
-        hot = hot if late is None else hot.join(late, "token", "left_anti")
-        if turn == rounds or hot.isEmpty():
-            return stage(postings.join(shared.select("token"), "token").select("token", "rep"), "gram-postings")
-        hot = stage(hot, f"frequent-grams-{turn}")
-        late = hot if late is None else late.unionByName(hot)
-        # Prefixes without a new frequent n-gram are the same in the new order.
-        touched = stage(postings.join(broadcast_if_small(hot), "token", "left_semi").select("rep").distinct(), f"touched-{turn}")
-        whole = stage(_unpacked(texts.join(touched, "rep"), words), f"touched-sets-{turn}")
-        held = (whole.select("rep", F.explode("tokens").alias("token")).join(broadcast_if_small(late), "token")
-                .groupBy("rep").agg(F.collect_list("token").alias("late")))
-        n = F.size("tokens")
-        length = n - F.floor((percent * n.cast("long") + 99) / 100).cast("int") + 1
-        order = F.concat(F.array_except("tokens", "late"), F.array_intersect("tokens", "late"))
-        drawn = whole.join(held, "rep").select(F.explode(F.slice(order, F.lit(1), length)).alias("token"), "rep")
-        postings = stage(postings.join(touched, "rep", "left_anti").select("token", "rep").unionByName(drawn), f"prefixes-{turn}")
+def _redrawn(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """`(rep, prefix, packed)` to `(rep, prefix)`; a prefix without a frequent n-gram is the same in the new order."""
+    memo, reader = _WordHashes(), zstandard.ZstdDecompressor()
+    for batch in batches:
+        reps, prefixes, packed = batch.columns
+        out = []
+        for old, text in zip(prefixes, packed):
+            prefix = old.values.to_numpy().view(np.uint64)
+            if np.isin(prefix & ~LATE, frequent).any():
+                prefix = prefix_of(gram_set(reader.decompress(text.as_py()), words, memo), frequent, percent)
+            out.append(prefix.view(np.int64))
+        yield pa.RecordBatch.from_arrays([reps, pa.array(out, pa.list_(pa.int64()))], ["rep", "prefix"])
+
+
+def ordered_prefixes(classes: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Prefixes `(rep, prefix)` of `classes(rep, prefix, packed)` in an order with the frequent n-grams last, and their
+    postings `(token, rep)` without lists of one."""
+    post = lambda prefixes: prefixes.select(F.explode("prefix").alias("token"), "rep")
+    lists = lambda postings, name: stage(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), name)
+    prefixes = classes.select("rep", "prefix")
+    shared = lists(post(prefixes), "shared-grams")
+    bound = max(frequent, (shared.agg(F.sum("n")).first()[0] or 0) / HOT_GRAMS)
+    hot = shared.filter(F.col("n") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)  # under HOT_GRAMS
+    if len(hot):
+        prefixes = stage(classes.select("rep", "prefix", "packed").mapInArrow(
+            lambda batches: _redrawn(batches, hot, words, percent), "rep long, prefix array<long>"), "prefixes")
+        shared = lists(post(prefixes), "shared-grams-again")
+    return prefixes, stage(post(prefixes).join(shared.select("token"), "token").select("token", "rep"), "gram-postings")
 
 
 def hub_groups(postings: DataFrame) -> DataFrame:
@@ -117,6 +128,52 @@ def hub_groups(postings: DataFrame) -> DataFrame:
     return stage(postings.join(hubs, "token").select("hub", "rep").distinct(), "gram-groups")
 
 
+def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(value, owner, number)` of all n-grams that two of the sets hold, in order of the values."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    if not len(values):
+        return values, owner, np.empty(0, np.int64)
+    name = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])])
+    met = np.bincount(name)[name] > 1
+    return values[met], owner[met], np.unique(name[met], return_inverse=True)[1]
+
+
+def _partial(owner: np.ndarray, name: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_sets: int) -> np.ndarray:
+    """How many of the n-grams `name`, held by `owner` and ascending, each set of `rows` has in common with each of `cols`."""
+    sums = np.zeros((len(rows), len(cols)), np.float32)
+    place_l, place_r = np.full(n_sets, -1), np.full(n_sets, -1)
+    place_l[rows], place_r[cols] = np.arange(len(rows)), np.arange(len(cols))
+    at = 0
+    while at < len(name):
+        end = np.searchsorted(name, name[at] + COLUMNS)
+        width = name[end - 1] - name[at] + 1
+        x, y = np.zeros((len(rows), width), np.float32), np.zeros((len(cols), width), np.float32)
+        for matrix, place in ((x, place_l[owner[at:end]]), (y, place_r[owner[at:end]])):
+            matrix[place[place >= 0], name[at:end][place >= 0] - name[at]] = 1
+        sums += x @ y.T
+        at = end
+    return sums
+
+
+def _reaches(overlap: np.ndarray, sizes_l: np.ndarray, sizes_r: np.ndarray, percent: int) -> np.ndarray:
+    """100 * overlap >= percent * union, for all pairs."""
+    return (100 + percent) * overlap.astype(np.int64) >= percent * (sizes_l[:, None] + sizes_r[None, :])
+
+
+def prefix_survivors(prefixes: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can reach the limit by the overlap of their prefixes and all that is left behind the shorter reach of both."""
+    _, owner, name = _shared(prefixes)
+    common = _partial(owner, name, left, right, len(prefixes))
+    last = np.array([p[-1] for p in prefixes])
+    # Up to the smaller of both last n-grams all is known: what lies behind can be in common, but no more than either has.
+    reach = lambda own, other: np.stack([np.searchsorted(prefixes[x], last[other], "right") for x in own])
+    rest = np.minimum(sizes[left][:, None] - reach(left, right), (sizes[right][:, None] - reach(right, left)).T)
+    fits = _reaches(common + rest, sizes[left], sizes[right], percent)
+    return fits & (left[:, None] != right[None, :]) & (common > 0)
+
+
 def fragment_sums(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int,
                   fragments: int = FRAGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows and columns still held, as positions in `left` and `right`, and their overlaps, summed over fragments.
@@ -124,46 +181,28 @@ def fragment_sums(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     `left` and `right` number the sets that are compared. Pairs that were let go cannot reach the limit.
     """
     sizes = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    name = np.concatenate([[0], np.cumsum(values[1:] != values[:-1])]) if len(values) else np.empty(0, np.int64)
-    met = np.bincount(name)[name] > 1 if len(name) else np.empty(0, bool)
-    values, owner, name = values[met], owner[met], np.unique(name[met], return_inverse=True)[1]
-    part = (values >> np.uint64(32)).astype(np.int64) * fragments >> 32
-    ends = np.searchsorted(part, np.arange(fragments + 1))
+    values, owner, name = _shared(sets)
+    ends = np.searchsorted((values >> np.uint64(31)).astype(np.int64) * fragments >> 32, np.arange(fragments + 1))
+    # What is left of a set behind each fragment, n-grams held by no other set aside.
     rest = np.zeros((fragments + 1, len(sets)), np.int64)
     for f in range(fragments - 1, -1, -1):
         rest[f] = rest[f + 1] + np.bincount(owner[ends[f]:ends[f + 1]], minlength=len(sets))
-    needed = percent * (sizes[left][:, None] + sizes[right][None, :])
-    rows, cols = np.arange(len(left)), np.arange(len(right))
-    sums = np.zeros((len(left), len(right)), np.float32)
+    rows, cols, sums = np.arange(len(left)), np.arange(len(right)), np.zeros((len(left), len(right)), np.float32)
     for f in range(fragments + 1):
-        # What is left of two sets adds the smaller of both numbers at most.
         most = sums + np.minimum(rest[f][left[rows]][:, None], rest[f][right[cols]][None, :])
-        alive = (100 + percent) * most.astype(np.int64) >= needed[np.ix_(rows, cols)]
+        alive = _reaches(most, sizes[left[rows]], sizes[right[cols]], percent) & (left[rows][:, None] != right[cols][None, :])
         a, b = alive.any(axis=1), alive.any(axis=0)
         rows, cols, sums = rows[a], cols[b], sums[np.ix_(a, b)]
         if f == fragments or not len(rows):
-            break
-        place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
-        place_l[left[rows]], place_r[right[cols]] = np.arange(len(rows)), np.arange(len(cols))
-        who, what = owner[ends[f]:ends[f + 1]], name[ends[f]:ends[f + 1]]
-        first = what[0] if len(what) else 0
-        for at in range(first, (what[-1] if len(what) else -1) + 1, COLUMNS):
-            span = slice(*np.searchsorted(what, [at, at + COLUMNS]))
-            x, y = np.zeros((len(rows), COLUMNS), np.float32), np.zeros((len(cols), COLUMNS), np.float32)
-            for matrix, place in ((x, place_l[who[span]]), (y, place_r[who[span]])):
-                matrix[place[place >= 0], what[span][place >= 0] - at] = 1
-            sums += x @ y.T
-    return rows, cols, sums
+            return rows, cols, sums
+        sums += _partial(owner[ends[f]:ends[f + 1]], name[ends[f]:ends[f + 1]], left[rows], right[cols], len(sets))
 
 
 def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Links between a set of `left` and one of `right`, each between two that were not connected before."""
     rows, cols, sums = fragment_sums(sets, left, right, percent)
     sizes = np.array([len(s) for s in sets])
-    linked = (100 + percent) * sums.astype(np.int64) >= percent * (sizes[left[rows]][:, None] + sizes[right[cols]][None, :])
+    linked = _reaches(sums, sizes[left[rows]], sizes[right[cols]], percent)
     label = np.arange(len(sets))
     for i, x in enumerate(left[rows]):
         for y in right[cols[linked[i]]]:
@@ -172,42 +211,60 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
                 yield int(x), int(y)
 
 
+def _still_paired(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of `(hub, i, j, block, rep, n_shingles, prefix)`, the places of classes that have a pair whose prefixes allow a link."""
+    for group in consecutive(batches, 3):
+        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            continue
+        prefixes = [p.values.to_numpy().view(np.uint64) for p in group.column("prefix")]
+        alive = prefix_survivors(prefixes, group.column("n_shingles").to_numpy(), left, right, percent)
+        kept = np.union1d(left[alive.any(axis=1)], right[alive.any(axis=0)])
+        if len(kept):
+            yield from group.select(["hub", "i", "j", "block", "rep"]).take(pa.array(kept)).combine_chunks().to_batches()
+
+
 def _links(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     memo, reader = _WordHashes(), zstandard.ZstdDecompressor()
     for group in consecutive(batches, 3):
         block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        if group.num_rows < 2 or not len(left) or not len(right):
+        if not len(left) or not len(right):
             continue
         reps = group.column("rep").to_pylist()
-        sets = [shingle_set(reader.decompress(p.as_py()), words, memo) for p in group.column("packed")]
+        sets = [gram_set(reader.decompress(p.as_py()), words, memo) for p in group.column("packed")]
         found = list(spanning_links(sets, left, right, percent))
         yield pa.RecordBatch.from_arrays([pa.array([reps[x] for x, _ in found], pa.int64()),
                                           pa.array([reps[y] for _, y in found], pa.int64())], ["a", "b"])
 
 
-def class_links(groups: DataFrame, classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT,
+def class_links(groups: DataFrame, prefixes: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Links `(a, b)` that connect the classes of each of `groups(hub, rep)`; `classes` is `(rep, n_shingles)`.
+    """Links `(a, b)` that connect the classes of each of `groups(hub, rep)`.
 
-    Of `texts(rep, packed)` only those of classes in a group of two or more travel.
+    `prefixes` is `(rep, prefix)`, `classes` `(rep, n_shingles, packed)`. Of the texts only those travel whose prefixes
+    overlap enough.
     """
-    known = groups.join(classes, "rep")
+    known = groups.join(classes.select("rep", "n_shingles"), "rep")
     blocks = F.greatest(F.ceil(F.count("*") / group_classes), F.ceil(F.sum("n_shingles") * 8 / group_bytes)).cast("int")
     sizes = stage(known.groupBy("hub").agg(blocks.alias("blocks"), F.count("*").alias("n")).filter("n > 1"), "group-blocks")
-    split = known.join(sizes, "hub").select("hub", "rep", "blocks", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    split = known.join(sizes, "hub").select("hub", "rep", "n_shingles", "blocks",
+                                            F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     # A class of block b is in the tasks (b, j) and (j, b) of its hub for every block j.
     pair = lambda b: lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j"))
-    placed = stage(split.select("hub", "rep", "block", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).select("hub", "p.i", "p.j", "block", "rep"), "group-places")
-    met = texts.join(placed.select("rep").distinct(), "rep", "left_semi")
-    full = placed.join(met, "rep").select("hub", "i", "j", "block", "rep", "packed")
-    dealt = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
-    return stage(dealt.mapInArrow(lambda batches: _links(batches, words, percent), "a long, b long"), "gram-links")
+    placed = split.select("hub", "rep", "n_shingles", "block", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).join(prefixes, "rep").select(
+        "hub", "p.i", "p.j", "block", "rep", "n_shingles", "prefix")
+    dealt = lambda rows: rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
+    left = stage(dealt(placed).mapInArrow(lambda batches: _still_paired(batches, percent), "hub long, i int, j int, block int, rep long"), "group-places")
+    texts = classes.select("rep", "packed").join(broadcast_if_small(left.select("rep").distinct()), "rep", "left_semi")
+    full = left.join(texts, "rep").select("hub", "i", "j", "block", "rep", "packed")
+    return stage(dealt(full).mapInArrow(lambda batches: _links(batches, words, percent), "a long, b long"), "gram-links")
 
 
 def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-                   frequent: int = FREQUENT, rounds: int = ROUNDS, group_classes: int = GROUP_CLASSES) -> DataFrame:
+                   frequent: int = FREQUENT, group_classes: int = GROUP_CLASSES) -> DataFrame:
     """One row per row of `docs`: `doc_id, n_shingles, component_id`.
 
     Rows are linked if 100 * |common n-grams| >= percent * |all n-grams|, and a component is what links reach.
@@ -219,13 +276,14 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         raise ValueError("percent is above 0 and at most 100")
     rows = stage(_sets(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
                                    F.col(text_col).cast("binary").alias("data")), words, percent), "gram-sets")
-    classes = stage(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("rid").alias("rep"), F.any_value("n_shingles").alias("n_shingles")),
-                    "gram-classes")
-    by_rep = lambda column: rows.select(F.col("rid").alias("rep"), column).join(classes.select("rep"), "rep", "left_semi")
-    postings = prefix_postings(by_rep("prefix"), by_rep("packed"), words, percent, frequent, rounds)
-    links = class_links(hub_groups(postings), classes.select("rep", "n_shingles"), by_rep("packed"), words, percent, group_classes)
+    known = stage(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("rid").alias("rep")), "gram-classes")
+    # The other rows of a class are looked for, not its first: they are fewer.
+    again = stage(rows.filter("n_shingles > 0").select("rid", "class").join(known, "class").filter("rid <> rep").select("rid"), "gram-copies")
+    classes = rows.filter("n_shingles > 0").join(broadcast_if_small(again), "rid", "left_anti").withColumnRenamed("rid", "rep")
+    prefixes, postings = ordered_prefixes(classes, words, percent, frequent)
+    links = class_links(hub_groups(postings), prefixes, classes, words, percent, group_classes)
     labels = components(links)
-    named = classes.select("class", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
+    named = known.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "class", F.coalesce("label", "rep").alias("label"))
     some = F.col("n_shingles") > 0
     placed = stage(rows.select("rid", "doc_id", "n_shingles", "class").join(stage(named, "gram-labels"), "class", "left").select(
