@@ -60,9 +60,16 @@ def gram_set(text: bytes, words: int, memo: dict) -> np.ndarray:
     return np.unique(shingle_set(text, words, memo) >> np.uint64(1))
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array `known`."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def prefix_of(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first n-grams of a set in the global order, in that order."""
-    late = np.isin(grams, frequent)
+    """The first n-grams of a set in the global order, in that order; `frequent` is sorted."""
+    late = _among(grams, frequent)
     ordered = np.concatenate([grams[~late], grams[late] | LATE]) if late.any() else grams
     return ordered[:prefix_length(len(grams), percent)]
 
@@ -99,7 +106,7 @@ def _redrawn(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, words: int
         out = []
         for old, text in zip(prefixes, packed):
             prefix = old.values.to_numpy().view(np.uint64)
-            if np.isin(prefix & ~LATE, frequent).any():
+            if _among(prefix, frequent).any():
                 prefix = prefix_of(gram_set(reader.decompress(text.as_py()), words, memo), frequent, percent)
             out.append(prefix.view(np.int64))
         yield pa.RecordBatch.from_arrays([reps, pa.array(out, pa.list_(pa.int64()))], ["rep", "prefix"])
@@ -114,6 +121,7 @@ def ordered_prefixes(classes: DataFrame, words: int = WORDS, percent: int = PERC
     shared = lists(post(prefixes), "shared-grams")
     bound = max(frequent, (shared.agg(F.sum("n")).first()[0] or 0) / HOT_GRAMS)
     hot = shared.filter(F.col("n") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)  # under HOT_GRAMS
+    hot = np.sort(hot)
     if len(hot):
         prefixes = stage(classes.select("rep", "prefix", "packed").mapInArrow(
             lambda batches: _redrawn(batches, hot, words, percent), "rep long, prefix array<long>"), "prefixes")
@@ -162,16 +170,18 @@ def _reaches(overlap: np.ndarray, sizes_l: np.ndarray, sizes_r: np.ndarray, perc
     return (100 + percent) * overlap.astype(np.int64) >= percent * (sizes_l[:, None] + sizes_r[None, :])
 
 
-def prefix_survivors(prefixes: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs can reach the limit by the overlap of their prefixes and all that is left behind the shorter reach of both."""
-    _, owner, name = _shared(prefixes)
-    common = _partial(owner, name, left, right, len(prefixes))
-    last = np.array([p[-1] for p in prefixes])
-    # Up to the smaller of both last n-grams all is known: what lies behind can be in common, but no more than either has.
-    reach = lambda own, other: np.stack([np.searchsorted(prefixes[x], last[other], "right") for x in own])
-    rest = np.minimum(sizes[left][:, None] - reach(left, right), (sizes[right][:, None] - reach(right, left)).T)
-    fits = _reaches(common + rest, sizes[left], sizes[right], percent)
-    return fits & (left[:, None] != right[None, :]) & (common > 0)
+def prefix_survivors(shared: list[np.ndarray], last: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
+                     percent: int) -> np.ndarray:
+    """Which pairs can reach the limit by the overlap of their prefixes and all that is left behind the shorter reach of both.
+
+    `shared` are the n-grams of each prefix that some other prefix holds, `last` the last one of the prefix.
+    """
+    _, owner, name = _shared(shared)
+    common = _partial(owner, name, left, right, len(shared))
+    behind = sizes - np.array([prefix_length(int(n), percent) for n in sizes])
+    # Up to the earlier of both last n-grams all that is in common is counted; what lies behind is no more than that set has left.
+    rest = np.where(last[left][:, None] <= last[right][None, :], behind[left][:, None], behind[right][None, :])
+    return _reaches(common + rest, sizes[left], sizes[right], percent) & (left[:, None] != right[None, :]) & (common > 0)
 
 
 def fragment_sums(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int,
@@ -212,14 +222,15 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def _still_paired(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of `(hub, i, j, block, rep, n_shingles, prefix)`, the places of classes that have a pair whose prefixes allow a link."""
+    """Of `(hub, i, j, block, rep, n_shingles, last, shared)`, the places of classes that have a pair whose prefixes allow a link."""
     for group in consecutive(batches, 3):
         block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
             continue
-        prefixes = [p.values.to_numpy().view(np.uint64) for p in group.column("prefix")]
-        alive = prefix_survivors(prefixes, group.column("n_shingles").to_numpy(), left, right, percent)
+        shared = [p.values.to_numpy().view(np.uint64) for p in group.column("shared")]
+        alive = prefix_survivors(shared, group.column("last").to_numpy().view(np.uint64), group.column("n_shingles").to_numpy(),
+                                 left, right, percent)
         kept = np.union1d(left[alive.any(axis=1)], right[alive.any(axis=0)])
         if len(kept):
             yield from group.select(["hub", "i", "j", "block", "rep"]).take(pa.array(kept)).combine_chunks().to_batches()
@@ -239,14 +250,16 @@ def _links(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
                                           pa.array([reps[y] for _, y in found], pa.int64())], ["a", "b"])
 
 
-def class_links(groups: DataFrame, prefixes: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT,
-                group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def class_links(groups: DataFrame, prefixes: DataFrame, postings: DataFrame, classes: DataFrame, words: int = WORDS,
+                percent: int = PERCENT, group_classes: int = GROUP_CLASSES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Links `(a, b)` that connect the classes of each of `groups(hub, rep)`.
 
-    `prefixes` is `(rep, prefix)`, `classes` `(rep, n_shingles, packed)`. Of the texts only those travel whose prefixes
-    overlap enough.
+    `prefixes` is `(rep, prefix)`, `postings` `(token, rep)`, `classes` `(rep, n_shingles, packed)`. Of the n-grams only those
+    travel that several prefixes hold, of the texts only those whose prefixes overlap enough.
     """
     known = groups.join(classes.select("rep", "n_shingles"), "rep")
+    ends = prefixes.select("rep", F.element_at("prefix", -1).alias("last"))
+    held = postings.groupBy("rep").agg(F.collect_list("token").alias("shared"))  # no longer than the prefix
     blocks = F.greatest(F.ceil(F.count("*") / group_classes), F.ceil(F.sum("n_shingles") * 8 / group_bytes)).cast("int")
     sizes = stage(known.groupBy("hub").agg(blocks.alias("blocks"), F.count("*").alias("n")).filter("n > 1"), "group-blocks")
     split = known.join(sizes, "hub").select("hub", "rep", "n_shingles", "blocks",
@@ -254,8 +267,8 @@ def class_links(groups: DataFrame, prefixes: DataFrame, classes: DataFrame, word
     # A class of block b is in the tasks (b, j) and (j, b) of its hub for every block j.
     pair = lambda b: lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j"))
     placed = split.select("hub", "rep", "n_shingles", "block", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).join(prefixes, "rep").select(
-        "hub", "p.i", "p.j", "block", "rep", "n_shingles", "prefix")
+        F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).join(ends, "rep").join(held, "rep").select(
+        "hub", "p.i", "p.j", "block", "rep", "n_shingles", "last", "shared")
     dealt = lambda rows: rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
     left = stage(dealt(placed).mapInArrow(lambda batches: _still_paired(batches, percent), "hub long, i int, j int, block int, rep long"), "group-places")
     texts = classes.select("rep", "packed").join(broadcast_if_small(left.select("rep").distinct()), "rep", "left_semi")
@@ -281,7 +294,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     again = stage(rows.filter("n_shingles > 0").select("rid", "class").join(known, "class").filter("rid <> rep").select("rid"), "gram-copies")
     classes = rows.filter("n_shingles > 0").join(broadcast_if_small(again), "rid", "left_anti").withColumnRenamed("rid", "rep")
     prefixes, postings = ordered_prefixes(classes, words, percent, frequent)
-    links = class_links(hub_groups(postings), prefixes, classes, words, percent, group_classes)
+    links = class_links(hub_groups(postings), prefixes, postings, classes, words, percent, group_classes)
     labels = components(links)
     named = known.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         "class", F.coalesce("label", "rep").alias("label"))

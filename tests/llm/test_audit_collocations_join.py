@@ -152,9 +152,9 @@ def test_fragment_sums_are_the_overlaps():
                 common = len(np.intersect1d(sets[x], sets[y]))
                 similar = 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common)
                 assert not similar or at[x, y] == common
-    frequent = pool[:40]
+    frequent = np.sort(pool[:40])
     prefixes = [ngram_join.prefix_of(s, frequent, 30) for s in sets]
-    alive = ngram_join.prefix_survivors(prefixes, np.array([len(s) for s in sets]), left, right, 30)
+    alive = ngram_join.prefix_survivors(prefixes, np.array([p[-1] for p in prefixes]), np.array([len(s) for s in sets]), left, right, 30)
     for i, x in enumerate(left):
         for j, y in enumerate(right):
             common = len(np.intersect1d(sets[x], sets[y]))
