@@ -120,14 +120,10 @@ def test_small_holdouts_have_their_share(spark, share):
     assert abs(marked - share * 100_000) <= 5 * (share * 100_000) ** 0.5 * (share < 1)
 
 
-def test_boosting_keeps_the_best_round(learnable):
-    assert M.best_round([5, 4, 3, 3.5, 3.2, 3.1], 3) == (3, True) and M.best_round([5, 4, 3, 3.5], 3) == (3, False)
-    fit_on = M.to_vectors(A.holdout_split(learnable, share=0.3), ["f1", "f2"]).select("features", "is_duplicate", "is_valid")
-    params = M.MemberParams(0.5, 5, 0.7, 1)
-    model = M.gbt_member(params, fit_on, 40, seed=1, patience=5)
-    losses = M.GBTClassifier(labelCol="is_duplicate", maxIter=40, stepSize=0.5, maxDepth=5, subsamplingRate=0.7, featureSubsetStrategy="all",
-                             seed=1).fit(fit_on.filter("NOT is_valid")).evaluateEachIteration(fit_on.filter("is_valid"))
-    assert model.getNumTrees == M.best_round(losses, 5)[0] < 40
+def test_default_sizes_are_those_of_the_source():
+    assert inspect.signature(M.random_forest).parameters["trees"].default == 1000
+    rounds = inspect.signature(M.gbt_ensemble).parameters["rounds"].default
+    assert rounds == 2500 and best_round([1.0] * rounds, M.PATIENCE) == (1, True)
 
 
 def test_malformed_pairs_are_an_error(spark, tmp_path):
@@ -145,9 +141,3 @@ def test_texts_of_several_lines(spark, tmp_path):
     (tmp_path / "other.csv").write_text('1,2,3,"a\nb ""c"" \\n",d,1\n')
     row = S.read_pairs_csv(spark, f"{tmp_path}/other.csv", multi_line=True).first()
     assert row.question1 == 'a\nb "c" \\n' and row.is_duplicate == 1
-
-
-def test_default_sizes_are_those_of_the_source():
-    assert inspect.signature(M.random_forest).parameters["trees"].default == 1000
-    rounds = inspect.signature(M.gbt_ensemble).parameters["rounds"].default
-    assert rounds == 2500 and M.best_round([1.0] * rounds, M.PATIENCE) == (1, True)
