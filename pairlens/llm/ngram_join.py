@@ -44,6 +44,8 @@ FREQUENT = 64
 HOT_GRAMS = 100_000
 LATE = np.uint64(1 << 63)
 FRAGMENTS = 8
+#: Places of a prefix that travel with it, to tell how far it reaches.
+MARKS = 16
 GROUP_CLASSES = 1024
 GROUP_BYTES = 32 << 20
 #: N-grams of a fragment that are laid out at a time.
@@ -170,17 +172,26 @@ def _reaches(overlap: np.ndarray, sizes_l: np.ndarray, sizes_r: np.ndarray, perc
     return (100 + percent) * overlap.astype(np.int64) >= percent * (sizes_l[:, None] + sizes_r[None, :])
 
 
-def prefix_survivors(shared: list[np.ndarray], last: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
+def prefix_survivors(shared: list[np.ndarray], marks: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray,
                      percent: int) -> np.ndarray:
     """Which pairs can reach the limit by the overlap of their prefixes and all that is left behind the shorter reach of both.
 
-    `shared` are the n-grams of each prefix that some other prefix holds, `last` the last one of the prefix.
+    `shared` are the n-grams of each prefix that some other prefix holds. Mark k of MARKS, from 1, is the n-gram of the
+    prefix at place ceil(k * length / MARKS), so the last mark is its end.
     """
     _, owner, name = _shared(shared)
     common = _partial(owner, name, left, right, len(shared))
-    behind = sizes - np.array([prefix_length(int(n), percent) for n in sizes])
-    # Up to the earlier of both last n-grams all that is in common is counted; what lies behind is no more than that set has left.
-    rest = np.where(last[left][:, None] <= last[right][None, :], behind[left][:, None], behind[right][None, :])
+    lengths = np.array([prefix_length(int(n), percent) for n in sizes])
+
+    def left_of(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """What a set has left behind the last n-gram of another's prefix, or behind its own: an upper bound."""
+        passed = np.zeros((len(own), len(other)), np.int64)
+        for k in range(MARKS):
+            passed += marks[own, k][:, None] <= marks[other, -1][None, :]
+        return sizes[own][:, None] - -(-passed * lengths[own][:, None] // MARKS)
+
+    # Up to the earlier of both last n-grams, all that the sets have in common is in both prefixes.
+    rest = np.minimum(left_of(left, right), left_of(right, left).T)
     return _reaches(common + rest, sizes[left], sizes[right], percent) & (left[:, None] != right[None, :]) & (common > 0)
 
 
@@ -222,15 +233,15 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
 
 
 def _still_paired(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of `(hub, i, j, block, rep, n_shingles, last, shared)`, the places of classes that have a pair whose prefixes allow a link."""
+    """Of `(hub, i, j, block, rep, n_shingles, marks, shared)`, the places of classes that have a pair whose prefixes allow a link."""
     for group in consecutive(batches, 3):
         block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
             continue
         shared = [p.values.to_numpy().view(np.uint64) for p in group.column("shared")]
-        alive = prefix_survivors(shared, group.column("last").to_numpy().view(np.uint64), group.column("n_shingles").to_numpy(),
-                                 left, right, percent)
+        marks = np.stack([m.values.to_numpy().view(np.uint64) for m in group.column("marks")])
+        alive = prefix_survivors(shared, marks, group.column("n_shingles").to_numpy(), left, right, percent)
         kept = np.union1d(left[alive.any(axis=1)], right[alive.any(axis=0)])
         if len(kept):
             yield from group.select(["hub", "i", "j", "block", "rep"]).take(pa.array(kept)).combine_chunks().to_batches()
@@ -258,7 +269,8 @@ def class_links(groups: DataFrame, prefixes: DataFrame, postings: DataFrame, cla
     travel that several prefixes hold, of the texts only those whose prefixes overlap enough.
     """
     known = groups.join(classes.select("rep", "n_shingles"), "rep")
-    ends = prefixes.select("rep", F.element_at("prefix", -1).alias("last"))
+    place = lambda k: F.ceil(F.lit(k) * F.size("prefix") / MARKS).cast("int")
+    ends = prefixes.select("rep", F.array(*[F.element_at("prefix", place(k + 1)) for k in range(MARKS)]).alias("marks"))
     held = postings.groupBy("rep").agg(F.collect_list("token").alias("shared"))  # no longer than the prefix
     blocks = F.greatest(F.ceil(F.count("*") / group_classes), F.ceil(F.sum("n_shingles") * 8 / group_bytes)).cast("int")
     sizes = stage(known.groupBy("hub").agg(blocks.alias("blocks"), F.count("*").alias("n")).filter("n > 1"), "group-blocks")
@@ -268,7 +280,7 @@ def class_links(groups: DataFrame, prefixes: DataFrame, postings: DataFrame, cla
     pair = lambda b: lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j"))
     placed = split.select("hub", "rep", "n_shingles", "block", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).join(ends, "rep").join(held, "rep").select(
-        "hub", "p.i", "p.j", "block", "rep", "n_shingles", "last", "shared")
+        "hub", "p.i", "p.j", "block", "rep", "n_shingles", "marks", "shared")
     dealt = lambda rows: rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
     left = stage(dealt(placed).mapInArrow(lambda batches: _still_paired(batches, percent), "hub long, i int, j int, block int, rep long"), "group-places")
     texts = classes.select("rep", "packed").join(broadcast_if_small(left.select("rep").distinct()), "rep", "left_semi")

@@ -154,7 +154,9 @@ def test_fragment_sums_are_the_overlaps():
                 assert not similar or at[x, y] == common
     frequent = np.sort(pool[:40])
     prefixes = [ngram_join.prefix_of(s, frequent, 30) for s in sets]
-    alive = ngram_join.prefix_survivors(prefixes, np.array([p[-1] for p in prefixes]), np.array([len(s) for s in sets]), left, right, 30)
+    marks = np.stack([p[[-(-k * len(p) // ngram_join.MARKS) - 1 for k in range(1, ngram_join.MARKS + 1)]] for p in prefixes])
+    alive = ngram_join.prefix_survivors(prefixes, marks, np.array([len(s) for s in sets]), left, right, 30)
+    assert not alive.all()
     for i, x in enumerate(left):
         for j, y in enumerate(right):
             common = len(np.intersect1d(sets[x], sets[y]))
