@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from pairlens.sources.quoted import quoted_records
+
 PAIR_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("id1", T.LongType()), T.StructField("id2", T.LongType()),
     T.StructField("question1", T.StringType()), T.StructField("question2", T.StringType()),
@@ -30,15 +32,19 @@ def _as_written(text: Column) -> Column:
 def read_pairs_csv(spark: SparkSession, path: str, labelled: bool = True, multi_line: bool = False) -> DataFrame:
     """A headerless CSV of pairs; quotes are doubled inside quoted fields. A malformed row is an error.
 
-    By default every record is one line, as `write_pairs_csv` writes it, and large files are
-    split. Files of other origin, in which texts may span lines and a backslash is nothing
-    special, are read with `multi_line`, a task a file.
+    By default every record is one line, as `write_pairs_csv` writes it. Files of other origin, in
+    which texts may span lines and a backslash is nothing special, are read with `multi_line`; records are
+    then found by `quoted_records`. Large files are split either way.
     """
     schema = PAIR_SCHEMA if labelled else UNLABELLED_SCHEMA
-    pairs = spark.read.csv(path, schema=schema, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST",
-                           lineSep=None if multi_line else "\n")
-    if not multi_line:
-        pairs = pairs.withColumns({c: _as_written(F.col(c)) for c in ("question1", "question2")})
+    if multi_line:
+        records = quoted_records(spark, path).select(F.regexp_replace("record", r"\r$", "").alias("record")).filter("record <> ''")
+        parsed = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                            {"quote": '"', "escape": '"', "multiLine": "true", "mode": "FAILFAST"})
+        pairs = records.select(parsed.alias("r")).select("r.*")
+    else:
+        pairs = spark.read.csv(path, schema=schema, quote='"', escape='"', mode="FAILFAST", lineSep="\n").withColumns(
+            {c: _as_written(F.col(c)) for c in ("question1", "question2")})
     pairs = fill_text(pairs)
     return pairs if labelled else pairs.withColumn("is_duplicate", F.lit(None).cast("int"))
 
