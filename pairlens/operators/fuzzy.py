@@ -1,7 +1,8 @@
 """Fuzzy similarity of whole texts, scored once per distinct pair of texts.
 
 Normalising, token sorting and token sets are Columns; Arrow UDFs do only what
-no built-in can: the longest common subsequence and long edit distances.
+no built-in can: the longest common subsequence and long edit distances. Every distinct text
+is normalised once, and tasks are ranges of the running cost of all distinct pairs.
 """
 
 from __future__ import annotations
@@ -10,19 +11,25 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from pairlens.functions.semilocal import window_lengths
 from pairlens.functions.text import SPACE
-from pairlens.operators.skew import HOT_KEYS, lookup
-from pairlens.sources.pairs import fill_text
+from pairlens.operators.corpus import attach_texts, distinct_texts
+from pairlens.operators.skew import HOT_KEYS, lookup, lookup_salted
 from pairlens.staging import stage
 
 # Weights and length limits of the weighted ratio.
 TOKEN_WEIGHT, PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT = 0.95, 0.90, 0.60
 PARTIAL_FROM, FAR_FROM = 1.5, 8.0
-#: Products of text lengths a task is given to score: some seconds of work, whatever its number of bytes.
-COST_OF_A_TASK = 2_000_000_000
+#: Cost a task is given to score, about two nanoseconds a unit, and the most tasks there are.
+COST_OF_A_TASK = 1_000_000_000
+MOST_TASKS = 100_000
+#: Steps over a text cost as much as this many characters of the other text.
+STEP = 2_000
+#: Pairs whose costs are added up side by side.
+BUCKET_PAIRS = 100_000
 
 
 def normalise(text: Column) -> Column:
@@ -94,19 +101,10 @@ def edit_distance(s: str, t: str) -> int:
 
 
 def best_window(s: str, t: str, floor: int = 0) -> int:
-    """The best LCS of the shorter text with any window of its length in the longer, at least `floor`.
-
-    One step of the window changes its LCS by at most one, so after a window that
-    is k short of the best so far the next k windows cannot beat it.
-    """
+    """The best LCS of the shorter text with any window of its length in the longer, at least `floor`."""
     if len(s) > len(t):
         s, t = t, s
-    best, i = floor, 0
-    while i <= len(t) - len(s) and best < len(s):
-        here = lcs_length(s, t[i:i + len(s)])
-        best = max(best, here)
-        i += best - here + 1
-    return best
+    return max(floor, int(window_lengths(s, t, len(s)).max()) if s else 0)
 
 
 def _percent(share: float) -> int:
@@ -170,32 +168,59 @@ def _fuzz(n1: pd.Series, n2: pd.Series, s1: pd.Series, s2: pd.Series,
     return pd.DataFrame(out, columns=["fuzz_qratio", "fuzz_WRatio"], dtype="int32")
 
 
-def _scored_once(rows: DataFrame, scores: Column, trivial: Column, answer: dict[str, Column],
+def dealt_by_cost(rows: DataFrame, cost: Column, order: list[str], name: str, cost_of_a_task: int = COST_OF_A_TASK,
+                  most_tasks: int = MOST_TASKS, bucket_rows: int = BUCKET_PAIRS) -> tuple[DataFrame, int]:
+    """`rows` with the `task` each is dealt to, and the number of tasks.
+
+    Rows lie one after the other on a line, each as long as it costs, and a task is a stretch of the line: none costs more than
+    its share and one row. The line is laid in buckets: the cost of each is summed, the sums are added up (a
+    row a bucket), and the rows of a bucket start where the buckets before it end.
+    """
+    costed = rows.withColumn("cost", cost.cast("decimal(38,0)"))
+    n, total = costed.agg(F.count("*"), F.sum("cost")).first()
+    share = max(cost_of_a_task, -(-int(total or 0) // most_tasks))
+    bucketed = costed.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(max(1, n // bucket_rows))).cast("int"))
+    before = lambda window: F.coalesce(F.sum("cost").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,0)")
+    sums = bucketed.groupBy("bucket").agg(F.sum("cost").cast("decimal(38,0)").alias("cost")).select(
+        "bucket", before(Window.orderBy("bucket")).alias("base"))
+    begin = F.col("base") + before(Window.partitionBy("bucket").orderBy(*order))
+    task = F.floor(begin / F.lit(share).cast("decimal(20,0)")).cast("int")
+    return stage(bucketed.join(sums, "bucket").withColumn("task", task).drop("bucket", "base", "cost"), name), int(total or 0) // share + 1
+
+
+def _scored_once(pairs: DataFrame, normal: Callable[[Column], Column], scores: Column, answer: Callable[[Column], dict[str, Column]],
                  name: str, hot_keys: int) -> DataFrame:
-    """Score the distinct text pairs `(t1, t2)` of `rows` and bring the scores back to every id."""
-    key = F.md5(F.concat_ws("|", F.md5("t1"), F.md5("t2")))
-    keyed = rows.select("id", "t1", "t2", key.alias("pair_key"), trivial.alias("trivial"))
-    hard = keyed.filter(~F.col("trivial"))
-    distinct = stage(hard.groupBy("pair_key").agg(F.any_value("t1").alias("t1"), F.any_value("t2").alias("t2"),
-                                                  F.count("*").alias("copies")), f"{name}-pairs")
-    # Tasks are cut by what scoring costs, the product of the lengths, and not by bytes.
-    cost = distinct.agg(F.sum(F.length("t1").cast("double") * F.length("t2"))).first()[0] or 0.0
-    dealt = distinct.repartition(max(1, math.ceil(cost / COST_OF_A_TASK)), "pair_key")
-    scored = stage(dealt.select("pair_key", "copies", scores.alias("s")).select("pair_key", "copies", "s.*"), name)
-    found = lookup(hard.select("id", "pair_key"), scored, "pair_key", "copies", hot_keys=hot_keys).drop("pair_key")
-    easy = keyed.filter("trivial").select("id", *[c.alias(n) for n, c in answer.items()])
-    return found.unionByName(easy)
+    """Score the distinct pairs `(t1, t2)` of normalised texts and bring the scores back to every id.
+
+    `answer` gives the scores of pairs that need no scoring, by whether they are equal and not empty.
+    """
+    texts = stage(distinct_texts(pairs).select("key", "mentions", normal(F.col("text")).alias("text")).select(
+        "key", "mentions", "text", F.md5("text").alias("name"), F.length("text").alias("len")), f"{name}-texts")
+    rows = stage(attach_texts(pairs, texts, {"name": ("n1", "n2"), "len": ("l1", "l2")}, hot_keys), f"{name}-keys")
+    trivial = (F.col("n1") == F.col("n2")) | (F.col("l1") == 0) | (F.col("l2") == 0)
+    hard = rows.filter(~trivial)
+    distinct = stage(hard.groupBy("n1", "n2").agg(F.any_value("l1").alias("l1"), F.any_value("l2").alias("l2"), F.count("*").alias("copies")),
+                     f"{name}-pairs")
+    cost = (F.col("l1").cast("long") + F.col("l2")) * (F.least("l1", "l2") + STEP)
+    dealt, tasks = dealt_by_cost(distinct, cost, ["n1", "n2"], f"{name}-tasks")
+    # A text is brought to each pair that it is in; how many those are is known, so that hot ones can be salted.
+    for side, other in (("1", "n2"), ("2", "n1")):
+        uses = distinct.groupBy(f"n{side}").agg(F.count("*").alias("uses")).withColumnRenamed(f"n{side}", "name")
+        table = texts.groupBy("name").agg(F.any_value("text").alias(f"t{side}")).join(uses, "name").withColumnRenamed("name", f"n{side}")
+        dealt = lookup_salted(dealt, stage(table, f"{name}-side{side}"), f"n{side}", "uses", spread=F.col(other), hot_keys=hot_keys)
+    scored = stage(dealt.repartitionById(tasks, "task").select("n1", "n2", "copies", scores.alias("s")).select("n1", "n2", "copies", "s.*"), name)
+    found = lookup(hard.select("id", "n1", "n2"), scored, ["n1", "n2"], "copies", hot_keys=hot_keys).drop("n1", "n2")
+    same = (F.col("n1") == F.col("n2")) & (F.col("l1") > 0)
+    return found.unionByName(rows.filter(trivial).select("id", *[c.alias(n) for n, c in answer(same).items()]))
 
 
 def fuzz_ratios(pairs: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
     """`(id, fuzz_qratio, fuzz_WRatio)` in 0..100; a text that normalises to nothing scores 0."""
     n1, n2 = F.col("t1"), F.col("t2")
-    rows = fill_text(pairs).select("id", normalise(F.col("question1")).alias("t1"), normalise(F.col("question2")).alias("t2"))
     parts = token_set_parts(n1, n2)
     scores = _fuzz(n1, n2, token_sort_key(n1), token_sort_key(n2), parts["common"], parts["rest1"], parts["rest2"])
-    equal = F.when((n1 == n2) & (n1 != ""), 100).otherwise(0)
-    return _scored_once(rows, scores, (n1 == n2) | (n1 == "") | (n2 == ""),
-                        {"fuzz_qratio": equal, "fuzz_WRatio": equal}, "fuzz", hot_keys)
+    equal = lambda same: F.when(same, 100).otherwise(0)
+    return _scored_once(pairs, normalise, scores, lambda same: {"fuzz_qratio": equal(same), "fuzz_WRatio": equal(same)}, "fuzz", hot_keys)
 
 
 @F.pandas_udf(IntegerType())
@@ -211,10 +236,8 @@ def levenshtein_ratio(pairs: DataFrame, normal: Callable[[Column], Column] = nor
     lengths; long ones the bit-parallel form, which takes a 64th of that.
     """
     t1, t2 = F.col("t1"), F.col("t2")
-    rows = fill_text(pairs).select("id", normal(F.col("question1")).alias("t1"), normal(F.col("question2")).alias("t2"))
     longest = F.greatest(F.length(t1), F.length(t2))
     when = lambda condition: [F.when(condition, t) for t in (t1, t2)]
     edits = F.coalesce(F.levenshtein(*when(longest < long_from)), _long_edits(*when(longest >= long_from)))
     scores = F.struct((1.0 - edits / longest).alias("ratio"))
-    return _scored_once(rows, scores, (t1 == t2) | (t1 == "") | (t2 == ""),
-                        {"ratio": F.when((t1 == t2) & (t1 != ""), 1.0).otherwise(0.0)}, "levenshtein", hot_keys)
+    return _scored_once(pairs, normal, scores, lambda same: {"ratio": F.when(same, 1.0).otherwise(0.0)}, "levenshtein", hot_keys)
