@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators import assemble as A, models as M
+from pairlens.operators import assemble as A, boosting, models as M
 from pairlens.sources import pairs as S
 from pairlens.staging import new_path
 from tests.conftest import by_id
@@ -123,7 +123,7 @@ def test_small_holdouts_have_their_share(spark, share):
 def test_default_sizes_are_those_of_the_source():
     assert inspect.signature(M.random_forest).parameters["trees"].default == 1000
     rounds = inspect.signature(M.gbt_ensemble).parameters["rounds"].default
-    assert rounds == 2500 and best_round([1.0] * rounds, M.PATIENCE) == (1, True)
+    assert rounds == 2500 and boosting.best_round([1.0] * rounds, M.PATIENCE) == (1, True)
 
 
 def test_malformed_pairs_are_an_error(spark, tmp_path):
