@@ -23,11 +23,13 @@ from pairlens.staging import stage
 # Weights and length limits of the weighted ratio.
 TOKEN_WEIGHT, PARTIAL_WEIGHT, FAR_PARTIAL_WEIGHT = 0.95, 0.90, 0.60
 PARTIAL_FROM, FAR_FROM = 1.5, 8.0
-#: Cost a task is given to score, about two nanoseconds a unit, and the most tasks there are.
-COST_OF_A_TASK = 1_000_000_000
+#: Cost a task is given to score, about a nanosecond a unit, and the most tasks there are.
+COST_OF_A_TASK = 2_000_000_000
 MOST_TASKS = 100_000
 #: Steps over a text cost as much as this many characters of the other text.
-STEP = 2_000
+STEP = 5_000
+#: Measured costs, in steps of `lcs_length` over a short text: a cell of one pass over all windows, and what a character more costs a step.
+PASS_COST, WINDOW_COST = 0.0015, 0.0002
 #: Pairs whose costs are added up side by side.
 BUCKET_PAIRS = 100_000
 
@@ -101,10 +103,23 @@ def edit_distance(s: str, t: str) -> int:
 
 
 def best_window(s: str, t: str, floor: int = 0) -> int:
-    """The best LCS of the shorter text with any window of its length in the longer, at least `floor`."""
+    """The best LCS of the shorter text with any window of its length in the longer, at least `floor`.
+
+    One step of the window changes its LCS by at most one, so after a window that is k short of the best so far the next
+    k windows cannot beat it. That is quick where the floor is high. Once the windows looked at have cost what one
+    pass over all the others would, that pass is made; so neither costs more than twice the cheaper of both.
+    """
     if len(s) > len(t):
         s, t = t, s
-    return max(floor, int(window_lengths(s, t, len(s)).max()) if s else 0)
+    m, best, i, spent = len(s), floor, 0, 0.0
+    while i <= len(t) - m and best < m:
+        if spent > (m + len(t) - i) * (m + STEP) * PASS_COST:
+            return max(best, int(window_lengths(s, t[i:], m).max()))
+        here = lcs_length(s, t[i:i + m])
+        spent += m * (1.0 + m * WINDOW_COST)
+        best = max(best, here)
+        i += best - here + 1
+    return best
 
 
 def _percent(share: float) -> int:
