@@ -147,7 +147,9 @@ CAPS = r"length(regexp_replace({}, '\P{{Lu}}', '', 'g'))"
 SCORES = "scores AS (SELECT id, is_duplicate, " + ", ".join(
     f"((length(question1) * {i} + length(question2)) % 101) / 101.0::DOUBLE AS fold{i}" for i in range(1, 10)) + (
     ", CASE WHEN length(question1) % 5 <> 0 THEN (length(question2) % 97) / 97.0::DOUBLE END AS score FROM pairs)")
-COUNTS = "counts AS MATERIALIZED (SELECT word, count(*) AS cnt FROM (SELECT unnest({}) AS word FROM cells) GROUP BY word)"
+# A text is taken apart once, however many cells hold it.
+COUNTS = ("counts AS MATERIALIZED (SELECT word, sum(mentions)::BIGINT AS cnt FROM (SELECT mentions, unnest({}) AS word FROM "
+          "(SELECT text, count(*) AS mentions FROM cells GROUP BY text)) GROUP BY word)")
 CLEAN_COUNTS = COUNTS.format(clean_words("text"))
 VECTORS = """vectors AS MATERIALIZED (
     SELECT c.word, list_transform(e.embedding, lambda x: x::DOUBLE * (1.0::DOUBLE + 0.25::DOUBLE * (c.idx % 5))) AS vec
