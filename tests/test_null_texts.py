@@ -45,3 +45,15 @@ def test_every_id_comes_back(spark, name):
     got = OPERATORS[name](spark, pairs).collect()
     assert sorted(r.id for r in got) == [1, 2, 3, 4, 5]
     assert {r.id: r for r in got} == {r.id: r for r in OPERATORS[name](spark, fill_text(pairs)).collect()}
+
+
+def test_mapped_words_come_back_for_every_id(spark):
+    from pairlens.operators.nouns import map_tokens
+    rows = [(1, ["cats", "x"], ["x"]), (2, ["cats", "x"], []), (3, None, ["a|b", "cats", "cats"]), (4, ["x"], ["cats", "x"]), (4, ["x"], ["cats", "x"])]
+    tokens = spark.createDataFrame(rows, "id long, words1 array<string>, words2 array<string>")
+    words = lambda *values: spark.createDataFrame(values, "word string, norm string")
+    counts = spark.createDataFrame([("cats", 5), ("x", 5)], "word string, cnt long")
+    for hot_keys in (1, 10_000):
+        got = sorted((r.id, r.words1, r.words2) for r in map_tokens(tokens, words(("cats", "cat")), counts, hot_keys).collect())
+        assert got == [(1, ["cat", "x"], ["x"]), (2, ["cat", "x"], []), (3, [], ["a|b", "cat", "cat"]),
+                       (4, ["x"], ["cat", "x"]), (4, ["x"], ["cat", "x"])]
