@@ -59,7 +59,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def gram_set(text: bytes, words: int, memo: dict) -> np.ndarray:
     """The n-grams of a text in order of their hashes, each once; the top bit is free to mark frequent ones."""
-    return np.unique(shingle_set(text, words, memo) >> np.uint64(1))
+    grams = shingle_set(text, words, memo) >> np.uint64(1)
+    return grams[np.concatenate([[True], grams[1:] != grams[:-1]])] if len(grams) else grams
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
