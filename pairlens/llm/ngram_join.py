@@ -47,9 +47,11 @@ FRAGMENTS = 8
 #: Places of a prefix that travel with it, to tell how far it reaches.
 MARKS = 16
 GROUP_CLASSES = 1024
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 #: N-grams of a fragment that are laid out at a time.
-COLUMNS = 4096
+COLUMNS = 2048
+#: Rows a task turns into sets at a time.
+ROWS = 500
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -57,6 +59,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def gram_set(text: bytes, words: int, memo: dict) -> np.ndarray:
     """The n-grams of a text in order of their hashes, each once; the top bit is free to mark frequent ones."""
     grams = shingle_set(text, words, memo) >> np.uint64(1)
@@ -74,14 +82,14 @@ def prefix_of(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarr
     """The first n-grams of a set in the global order, in that order; `frequent` is sorted."""
     late = _among(grams, frequent)
     ordered = np.concatenate([grams[~late], grams[late] | LATE]) if late.any() else grams
-    return ordered[:prefix_length(len(grams), percent)]
+    return ordered[:prefix_length(len(grams), percent)].copy()  # a view would hold the whole set
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """`docs(rid, doc_id, data)` with the size and a digest of the set, its prefix in order of the hashes, and the text packed."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, squeeze, none = _WordHashes(), zstandard.ZstdCompressor(level=1), np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in _parts(batches):
             rid, doc_id, data = batch.columns
             rows = []
             for value in data:
@@ -104,7 +112,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _redrawn(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """`(rep, prefix, packed)` to `(rep, prefix)`; a prefix without a frequent n-gram is the same in the new order."""
     memo, reader = _WordHashes(), zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in _parts(batches):
         reps, prefixes, packed = batch.columns
         out = []
         for old, text in zip(prefixes, packed):
