@@ -14,6 +14,9 @@ inside stand side by side unmerged. Then nothing outside can change:
 
 `ByteBPE.ordered` checks that condition for every token. Without it, pieces are merged directly.
 Joining is associative, so texts are encoded in any grouping with the same result.
+
+Pieces no longer than a leaf are nearly all there are. They are merged many at a time: those of
+one length are the rows of a matrix, and every step merges the pair of lowest rank in every row.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,8 +35,14 @@ from pyspark.sql.types import BinaryType
 from pairlens.llm.common import pieces
 
 LEAF_BYTES = 16
-#: Distinct pieces a Python worker remembers before it starts anew; bounds its memory.
-MEMO_PIECES = 200_000
+#: Bytes of pieces and ids that a generation of a Python worker's memory holds; there are two generations.
+MEMO_BYTES = 16 << 20
+#: What an entry takes beside its text and ids, about.
+ENTRY_BYTES = 160
+#: Neighbours whose standing is remembered.
+MEMO_PAIRS = 200_000
+#: Bytes of text whose pieces are looked up together.
+GROUP_BYTES = 1 << 20
 NEVER = 1 << 62
 #: White space as the tokenizer's regular expressions have it (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -122,7 +132,7 @@ class ByteBPE:
         """Whether two tokens side by side are the encoding of their bytes."""
         key = (left, right)
         if key not in self._apart:
-            if len(self._apart) > MEMO_PIECES:
+            if len(self._apart) > MEMO_PAIRS:
                 self._apart.clear()
             self._apart[key] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return self._apart[key]
@@ -151,21 +161,130 @@ class ByteBPE:
         return self.tree(data) if rank is None else [rank]
 
 
+class PairRanks:
+    """The rank that two neighbouring tokens merge to, for arrays of them."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self._base, get = max(ranks.values(), default=0) + 1, ranks.get
+        pairs = {left * self._base + right: rank for token, rank in ranks.items() for i in range(1, len(token))
+                 if (left := get(token[:i])) is not None and (right := get(token[i:])) is not None}
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = keys.argsort()
+        self._keys = np.append(keys[order], self.NONE)
+        self._ranks = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], self.NONE)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self._base + right
+        at = np.searchsorted(self._keys, key)
+        return np.where(self._keys[at] == key, self._ranks[at], self.NONE)
+
+
+def _without_column(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Every row without its element number `at`."""
+    keep = np.ones(rows.shape, bool)
+    keep[np.arange(len(rows)), at] = False
+    return rows[keep].reshape(len(rows), rows.shape[1] - 1)
+
+
+def merge_rows(ids: np.ndarray, pair_ranks: PairRanks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`ByteBPE.merge` of every row of a matrix of token ids: `(row numbers, their tokens)`, by the number of tokens.
+
+    A step merges one pair in every row that is not done, so all rows at work have equally many tokens.
+    """
+    number, found = np.arange(len(ids)), pair_ranks(ids[:, :-1], ids[:, 1:])
+    while len(ids) and ids.shape[1] > 1:
+        at = found.argmin(1)
+        best = found[np.arange(len(ids)), at]
+        if (done := best == pair_ranks.NONE).any():
+            yield number[done], ids[done]
+            number, ids, found, at, best = (a[~done] for a in (number, ids, found, at, best))
+        ids[np.arange(len(ids)), at] = best
+        ids, found = _without_column(ids, at + 1), _without_column(found, at)
+        before, after = np.flatnonzero(at > 0), np.flatnonzero(at < ids.shape[1] - 1)
+        found[before, at[before] - 1] = pair_ranks(ids[before, at[before] - 1], ids[before, at[before]])
+        found[after, at[after]] = pair_ranks(ids[after, at[after]], ids[after, at[after] + 1])
+    if len(ids):
+        yield number, ids
+
+
 class _Packed(dict):
-    """Piece of text to its ids as little-endian unsigned 32-bit integers."""
+    """Piece of text to its ids as little-endian unsigned 32-bit integers.
+
+    Remembered in two generations: when the younger has reached its size it becomes the older, and what was in the
+    older and not met since is forgotten. It outlives tasks, as Python workers do.
+    """
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.bpe.encode_piece(piece.encode("utf-8", "surrogateescape"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= MEMO_PIECES:
-            self.clear()
+        self.bpe, self.older, self.held = bpe, {}, 0
+        self._pair_ranks = PairRanks(bpe.ranks)
+        self._byte_ids = np.array([bpe.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # Without the condition on ranks, and where a byte is no token, pieces are merged one by one.
+        self._rows = bpe.leaf if bpe.leaf < 1 << 16 and (self._byte_ids >= 0).all() else 0
+
+    def _keep(self, piece: str, packed: bytes) -> bytes:
+        self.held += len(piece) + len(packed) + ENTRY_BYTES
         self[piece] = packed
         return packed
 
+    def _turn(self) -> None:
+        if self.held > MEMO_BYTES:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+
+    def _one(self, data: bytes) -> bytes:
+        ids = self.bpe.encode_piece(data)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        self._turn()
+        packed = self.older.get(piece)
+        return self._keep(piece, self._one(piece.encode("utf-8", "surrogateescape")) if packed is None else packed)
+
+    def learn(self, pieces_: set[str]) -> None:
+        """Hold the ids of all these pieces until the next call."""
+        self._turn()
+        by_length: dict[int, list[str]] = {}
+        for piece in pieces_.difference(self):
+            if (packed := self.older.get(piece)) is None:
+                data = piece.encode("utf-8", "surrogateescape")
+                if len(data) <= self._rows and data not in self.bpe.ranks:
+                    by_length.setdefault(len(data), []).append(piece)
+                    continue
+                packed = self._one(data)
+            self._keep(piece, packed)
+        for length, group in by_length.items():
+            data = "".join(group).encode("utf-8", "surrogateescape")
+            rows = self._byte_ids[np.frombuffer(data, np.uint8).reshape(-1, length)]
+            for numbers, ids in merge_rows(rows, self._pair_ranks):
+                packed, size = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, number in enumerate(numbers.tolist()):
+                    self._keep(group[number], packed[k * size:(k + 1) * size])
+
+    def encode_all(self, texts: Iterable[bytes], split) -> Iterator[bytes]:
+        """The packed ids of texts, a group of them at a time."""
+        for group in grouped(texts):
+            pieces_ = [split(t.decode("utf-8", "surrogateescape")) for t in group]
+            self.learn(set().union(*pieces_))
+            for found in pieces_:
+                yield b"".join(map(self.__getitem__, found))
+
+
+def grouped(texts: Iterable[bytes], size: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """Neighbouring texts in groups that reach `size` bytes with their last one at most."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
 
 _workers: dict[tuple, _Packed] = {}
 
@@ -206,9 +325,7 @@ class Tokenizer:
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             packed, split = worker(lines.value, leaf), splitter(pattern).findall
             for texts in pieces(batches):
-                yield pd.Series([b"".join(map(packed.__getitem__, split(t.decode("utf-8", "surrogateescape"))))
-                                 for t in texts], dtype=object)
-            packed.clear()  # the worker may go on with other work
+                yield pd.Series(list(packed.encode_all(texts, split)), dtype=object)
 
         encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(encoded, BinaryType())(F.coalesce(text, F.lit("")).cast("binary"))
@@ -220,9 +337,8 @@ class Tokenizer:
         def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             packed, split = worker(lines.value, leaf), splitter(pattern).findall
             for texts in pieces(batches):
-                ids = [b"".join(map(packed.__getitem__, split(t.decode("utf-8", "surrogateescape")))) for t in texts]
+                ids = list(packed.encode_all(texts, split))
                 yield pd.DataFrame({"ids": ids, "decoded": [decoded_bytes(i, packed.bpe.token) for i in ids]}, dtype=object)
-            packed.clear()
 
         coded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(coded, "ids binary, decoded binary")(F.coalesce(text, F.lit("")).cast("binary"))

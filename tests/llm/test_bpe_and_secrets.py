@@ -59,6 +59,25 @@ def test_the_vocabulary_is_ordered_and_a_disordered_one_is_noticed(ranks):
     assert not bpe.ByteBPE(letters | {b"ab": 9, b"abc": 5}).ordered()
 
 
+@pytest.mark.parametrize("memo_bytes", [1, 2000, 1 << 20])
+def test_pieces_learned_together_are_those_of_the_library(ranks, reference, monkeypatch, memo_bytes):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", memo_bytes)
+    rng, split = random.Random(memo_bytes), bpe.splitter(public_tokenizers.PATTERN).findall
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 9, 60, 300]))) for alphabet in ALPHABETS for _ in range(40)]
+    for leaf in (1, 4, 16, 1 << 62):
+        packed = bpe._Packed(bpe.ByteBPE(ranks, leaf))
+        for _ in range(2):
+            got = [ids_of(p) for p in packed.encode_all([t.encode() for t in texts], split)]
+            assert got == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_a_vocabulary_without_some_bytes_merges_one_by_one():
+    letters = {bytes([c]): i for i, c in enumerate(b"abc")} | {b"ab": 3, b"abc": 4}
+    packed = bpe._Packed(bpe.ByteBPE(letters))
+    assert ids_of(next(packed.encode_all([b"abcabcb"], lambda t: [t]))) == [4, 4, 1]
+    assert list(bpe.grouped([b"aa", b"", b"b", b"cccc"], 3)) == [[b"aa", b"", b"b"], [b"cccc"]]
+
+
 def test_round_trip_of_edge_rows(edge, nothing, tokenizer, reference):
     rows = bpe.round_trip(edge, tokenizer).collect()
     want = Counter((i, tuple(reference.encode_ordinary(t or ""))) for i, t, _ in EDGE)
