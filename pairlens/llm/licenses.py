@@ -5,6 +5,10 @@ licence: case, punctuation, white space, lines that name a copyright holder, and
 held to be equal. The SHA-256 of the form is looked up among those of known licence texts.
 Whole documents are looked up, and each of their lines, which is how notices appear.
 
+Which lines name a holder depends on where lines are broken. A text is therefore looked up, and known,
+in two forms: without these lines, and whole. A copy whose lines are broken elsewhere, or that is one
+line, has the whole form of its model; a copy with a holder of its own has the other one.
+
 Columns only: no Python runs on the rows.
 """
 
@@ -16,17 +20,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairlens.llm.common import broadcast_if_small
 
-# Spellings held to be equal, after lower-casing (fixed values): pattern, replacement.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# The start of a line that names a holder, after lower-casing (fixed values): a mark and a year or two marks, or the formula alone.
+YEAR = r"[<\[{(]?([12][0-9]{3}|year|yyyy|19yy|20yy)"
+HOLDER = (r"[ \t#*/;-]*(copyright[ \t:]*(\(c\)|©|" + YEAR + r")|(\(c\)|©)[ \t]*(copyright|" + YEAR + r")"
+          r"|all rights reserved[ \t.]*(\n|$))")
+# What shows that such a line goes on with the terms (fixed values).
+TERMS = "permission|permitted|redistribution|licensed"
+# Spellings held to be equal, after lower-casing (fixed values): pattern, replacement. None depends on a line's end.
 SPELLINGS = (
     (r"licen[cs]e", "license"),
-    (r"sub-?license", "sublicense"),
-    (r"non-?commercial", "noncommercial"),
-    (r"(copyright )?(\(c\)|©)", "copyright"),
+    (r"sub-\s*license", "sublicense"),
+    (r"non-\s*commercial", "noncommercial"),
+    (r"copyright([ \t\n\x01]*)(\(c\)|©)", "copyright\\1"),
+    (r"\(c\)|©", "copyright"),
     (r"http:", "https:"),
     (r"&", " and "),
-    (r"version ([0-9])", "v\\1"),
+    (r"\bv([0-9])", "version \\1"),
 )
+#: Stands before a line that names a holder; taken out of texts first.
+MARK = "\x01"
 
 # Notices of one line and the licence each names (fixed values).
 NOTICES = (
@@ -101,12 +113,23 @@ def whole_texts() -> list[tuple[str, str]]:
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical lines of a text that have anything left, in order; none for null."""
-    form = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    """The canonical lines of a text that have anything left, in order, those that name a holder behind a `MARK`; none for null."""
+    form = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARK, " ")
+    form = F.regexp_replace(form, f"(^|\n)({HOLDER})", f"$1{MARK}$2")
     for pattern, replacement in SPELLINGS:
         form = F.regexp_replace(form, pattern, replacement.replace("\\1", "$1"))
-    form = F.regexp_replace(form, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.filter(F.transform(F.split(form, "\n"), lambda line: F.trim(line)), lambda line: line != "")
+    form = F.regexp_replace(form, r"[\x00\x02-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    trimmed = F.transform(F.split(form, "\n"), lambda line: F.regexp_replace(F.trim(line), f"^{MARK} ", MARK))
+    unmarked = F.transform(trimmed, lambda line: F.when(line.startswith(MARK) & line.rlike(TERMS), F.substr(line, F.lit(2))).otherwise(line))
+    return F.filter(unmarked, lambda line: (line != "") & (line != MARK))
+
+
+def without_holders(lines: Column) -> Column:
+    return F.filter(lines, lambda line: ~line.startswith(MARK))
+
+
+def with_holders(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.ltrim(line, F.lit(MARK)))
 
 
 def digest_of(lines: Column) -> Column:
@@ -118,28 +141,36 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def registry(licenses: DataFrame) -> DataFrame:
-    """Distinct `(digest, license_id)` of the texts; one with nothing left in its canonical form is no licence."""
-    lines = licenses.select("license_id", canonical_lines(F.col("text")).alias("lines")).filter(F.size("lines") > 0)
-    return lines.select(digest_of(F.col("lines")).alias("digest"), "license_id").distinct()
+    """Distinct `(digest, license_id)` of both forms of the texts; a form with nothing left is no licence."""
+    lines = licenses.select("license_id", canonical_lines(F.col("text")).alias("lines"))
+    forms = lines.select("license_id", F.explode(F.array(without_holders(F.col("lines")), with_holders(F.col("lines")))).alias("lines"))
+    return forms.filter(F.size("lines") > 0).select(digest_of(F.col("lines")).alias("digest"), "license_id").distinct()
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: `doc_id, canonical_sha256, whole, notices, n_lines`.
 
-    `whole` lists the licences the document is a copy of, `notices` those its lines name, and
-    `n_lines` counts such lines. Null texts and texts with nothing left have the digest of the
-    empty text and no licence. Ids that repeat are rows of their own; other columns are not read.
+    `canonical_sha256` is of the form without lines that name a holder. `whole` lists the licences the
+    document is a copy of in either form, `notices` those its lines name, and `n_lines` counts such lines.
+    Null texts and texts with nothing left have the digest of the empty text and no licence. Ids that
+    repeat are rows of their own; other columns are not read.
     """
     known = broadcast_if_small(registry(known_licenses(docs.sparkSession) if licenses is None else licenses))
-    forms = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
-                        canonical_lines(F.col(text_col)).alias("lines"))
-    unit = lambda whole: lambda digest: F.struct(F.lit(whole).alias("whole"), digest.alias("digest"))
-    units = F.concat(F.array(unit(True)(digest_of(F.col("lines")))), F.transform("lines", lambda line: unit(False)(F.sha2(line, 256))))
-    spread = forms.select("rid", "doc_id", F.explode(units).alias("u")).select("rid", "doc_id", "u.whole", "u.digest")
-    met = spread.join(known, "digest", "left").filter(F.col("whole") | F.col("license_id").isNotNull())
-    named = lambda whole: F.sort_array(F.collect_set(F.when(F.col("whole") == whole, F.col("license_id"))))
+    marked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
+                         canonical_lines(F.col(text_col)).alias("marked"))
+    forms = marked.select("rid", "doc_id", without_holders(F.col("marked")).alias("lines"), "marked")
+    # The whole form is a unit of its own only where a line names a holder.
+    named = F.size("lines") < F.size("marked")
+    unit = lambda kind, digest: F.struct(F.lit(kind).alias("kind"), digest.alias("digest"))
+    units = F.concat(F.array(unit("form", digest_of(F.col("lines")))),
+                     F.when(named, F.array(unit("whole", digest_of(with_holders(F.col("marked")))))).otherwise(
+                         F.array().cast("array<struct<kind:string,digest:string>>")),
+                     F.transform("lines", lambda line: unit("line", F.sha2(line, 256))))
+    spread = forms.select("rid", "doc_id", F.explode(units).alias("u")).select("rid", "doc_id", "u.kind", "u.digest")
+    met = spread.join(known, "digest", "left").filter((F.col("kind") == "form") | F.col("license_id").isNotNull())
+    named_by = lambda line: F.sort_array(F.collect_set(F.when((F.col("kind") == "line") == line, F.col("license_id"))))
     return met.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"),
-        named(True).alias("whole"), named(False).alias("notices"),
-        F.count(F.when(~F.col("whole"), 1)).alias("n_lines")).drop("rid")
+        F.first("doc_id").alias("doc_id"), F.max(F.when(F.col("kind") == "form", F.col("digest"))).alias("canonical_sha256"),
+        named_by(False).alias("whole"), named_by(True).alias("notices"),
+        F.count(F.when(F.col("kind") == "line", 1)).alias("n_lines")).drop("rid")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from pairlens.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS, TEXTS
+from pairlens.llm.licenses import HOLDER, NOTICES, SPELLINGS, TERMS, whole_texts
 
 
 def _quoted(value: str) -> str:
@@ -8,11 +8,19 @@ def _quoted(value: str) -> str:
 
 
 def _canonical() -> str:
-    form = f"regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    form = "translate(lower(coalesce(text, '')), chr(1), ' ')"
+    form = f"regexp_replace({form}, {_quoted(f'(^|{chr(10)})({HOLDER})')}, concat('\\1', chr(1), '\\2'), 'g')"
     for pattern, replacement in SPELLINGS:
         form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
-    form = f"regexp_replace({form}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
-    return f"list_filter(list_transform(string_split({form}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    form = f"regexp_replace({form}, '[\\x00\\x02-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')"
+    lines = f"list_transform(string_split({form}, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^\\x01 ', chr(1)))"
+    lines = (f"list_transform({lines}, lambda x: CASE WHEN starts_with(x, chr(1)) AND regexp_matches(x, {_quoted(TERMS)}) "
+             "THEN substr(x, 2) ELSE x END)")
+    return f"list_filter({lines}, lambda x: x <> '' AND x <> chr(1))"
+
+
+_UNNAMED = "list_filter(lines, lambda x: NOT starts_with(x, chr(1)))"
+_WHOLE = "list_transform(lines, lambda x: ltrim(x, chr(1)))"
 
 OP4 = r"""
 WITH t AS (
@@ -56,17 +64,21 @@ FROM words LEFT JOIN places ON places.doc_id = id LEFT JOIN named ON named.doc_i
 """
 
 OP6 = f"""
-WITH known AS (
-  SELECT DISTINCT license_id, sha256(array_to_string(lines, ' ')) AS digest
-  FROM (SELECT license_id, {_canonical()} AS lines
-        FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in (*NOTICES, *TEXTS))}) v(license_id, text))
-  WHERE len(lines) > 0),
-forms AS (SELECT doc_id, {_canonical()} AS lines FROM documents),
-wholes AS (SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS digest FROM forms),
+WITH models AS (
+  SELECT license_id, {_canonical()} AS lines
+  FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in (*NOTICES, *whole_texts()))}) v(license_id, text)),
+known AS (
+  SELECT DISTINCT license_id, sha256(array_to_string(form, ' ')) AS digest
+  FROM (SELECT license_id, unnest([{_UNNAMED}, {_WHOLE}]) AS form FROM models) WHERE len(form) > 0),
+marked AS (SELECT doc_id, {_canonical()} AS lines FROM documents),
+forms AS (SELECT doc_id, {_UNNAMED} AS lines, {_WHOLE} AS every FROM marked),
+wholes AS (
+  SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS digest, sha256(coalesce(array_to_string(every, ' '), '')) AS every
+  FROM forms),
 found AS (
   SELECT doc_id, license_id FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM forms) JOIN known USING (digest))
 SELECT doc_id, digest AS canonical_sha256,
-  coalesce((SELECT string_agg(DISTINCT license_id, ',' ORDER BY license_id) FROM known k WHERE k.digest = w.digest), '') AS whole,
+  coalesce((SELECT string_agg(DISTINCT license_id, ',' ORDER BY license_id) FROM known k WHERE k.digest IN (w.digest, w.every)), '') AS whole,
   coalesce(notices, '') AS notices, coalesce(n_lines, 0) AS n_lines
 FROM wholes w LEFT JOIN (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_lines

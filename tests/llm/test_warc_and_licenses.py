@@ -1,10 +1,15 @@
 import gzip
 import hashlib
+import re
+import textwrap
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairlens.llm import licenses, warc
+from pairlens.llm.oracle import ORACLE
 from pairlens.staging import new_path
 
 PAGE = "<html>" + "payload " * 30 + "</html>"
@@ -68,3 +73,41 @@ def test_common_whole_texts_are_known(spark):
     docs = spark.createDataFrame([(i, "  " + t.upper()) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.whole for r in licenses.scan_licenses(docs).collect()}
     assert [got[i] for i in range(len(texts))] == [[n] for n, _ in texts]
+
+
+def test_known_texts_are_found_however_their_lines_are_broken(spark):
+    texts, rows = licenses.whole_texts(), []
+    for name, text in texts:
+        paragraphs = re.split(r"\n\s*\n", text)
+        rows.append((name, " ".join(text.split())))
+        rows += [(name, "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in paragraphs)) for width in (40, 60, 80, 100)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.whole for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [[name] for name, _ in rows]
+
+
+def test_lines_that_name_a_holder(spark):
+    lines = ["Copyright (c) 2020 Some Body", " * © 2021 Some Body", "(C) 2019, Some Body", "Copyright 1999 Some Body", "All rights reserved.",
+             "copyright notice, this list of conditions", "(c) You must retain", "Copyright (c) 2020 X. Permission is hereby granted",
+             "all rights reserved by others", "\x01 a line"]
+    docs = spark.createDataFrame([(i, "head\n" + t + "\nend") for i, t in enumerate(lines)], "doc_id long, text string")
+    forms = docs.select("doc_id", licenses.canonical_lines(F.col("text")).alias("l"))
+    got = {r.doc_id: r.l for r in forms.select("doc_id", licenses.without_holders(F.col("l")).alias("l")).collect()}
+    assert [len(got[i]) for i in range(len(lines))] == [2] * 5 + [3] * 5
+    own = "Redistribution and use in source"
+    bsd = dict(licenses.whole_texts())["BSD-3-Clause"].replace(own, f"Copyright (c) 2020, Some Body\nAll rights reserved.\n\n{own}")
+    docs = spark.createDataFrame([(0, bsd), (1, bsd.replace("list of", "list\nof"))], "doc_id long, text string")
+    assert [r.whole for r in licenses.scan_licenses(docs).collect()] == [["BSD-3-Clause"]] * 2
+
+
+def test_the_sql_has_the_same_law(spark):
+    texts = [t for _, t in licenses.whole_texts()]
+    texts += [textwrap.fill(t, 60, replace_whitespace=False) for t in texts] + [t.replace("<year>", "2020").replace("\n\n", "\r\n \r\n") for t in texts]
+    texts += ["Copyright\n(c) 2020\n\x01x\nAll rights reserved.\nÄ © 1 v2.0 sub-\nlicence", "* Released under the MIT licence!\n(c) 2020 A", "", None]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    got = licenses.scan_licenses(docs).select("doc_id", "canonical_sha256", joined("whole"), joined("notices"), "n_lines").collect()
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE["op6_license_scan"]).fetchall())
