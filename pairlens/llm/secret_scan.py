@@ -8,7 +8,9 @@ reported, unless it is a digest or an identifier of a known form.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,14 +31,13 @@ FORMS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _HEX_RUN = b"h" * 32
 _AS_HEX = bytes(ord("h") if chr(c) in "0123456789abcdef" else 0 for c in range(256))
-_DIGIT = re.compile(rb"[0-9]")
 
-#: Candidates of the ratio test.
-WORD = re.compile(r"[A-Za-z0-9+/_=-]+")
-MIN_CHARS = 20
+#: Candidates of the ratio test: whole runs of at least as many characters, which is what a ratio needs to tell anything.
+MIN_CHARS = 16
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 MAX_RATIO = 2.0
 # Known digests and identifiers (fixed values): hexadecimal digests by their lengths, optionally named; UUIDs;
-# and strings in which a letter hardly ever meets a digit, such as numbered names and dates.
+# and words and numbers, alone or parted by separators, such as numbered names, paths and dates.
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-=])?"
                     r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -58,20 +59,14 @@ def base_spans(data: bytes) -> list[tuple[str, int, int]]:
             for m in form.finditer(text) if len(m[group]) >= least]
 
 
-def random_spans(data: bytes, tokens_of, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs of few characters a token that hold a digit and a letter and overlap no other span."""
-    if not _DIGIT.search(data):
+def random_spans(text: str, tokens_of, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs of few characters a token that are no known digest or identifier and overlap no other span."""
+    found = [m.span() for m in WORD.finditer(text) if not known(m[0]) and len(m[0]) < MAX_RATIO * tokens_of(m[0])]
+    if not found:
         return []
-    found = []
-    for m in WORD.finditer(data.decode("utf-8", "surrogateescape")):
-        start, end = m.span()
-        if end - start < MIN_CHARS or not any(c.isdigit() for c in m[0]) or not any(c.isalpha() for c in m[0]):
-            continue
-        if known(m[0]) or any(start < e and s < end for _, s, e in taken):
-            continue
-        if end - start < MAX_RATIO * tokens_of(m[0]):
-            found.append(("random", start, end))
-    return found
+    others = sorted((start, end) for _, start, end in taken)
+    starts, reach = [s for s, _ in others], [0, *accumulate((e for _, e in others), max)]
+    return [("random", start, end) for start, end in found if reach[bisect_left(starts, end)] <= start]
 
 
 def secret_spans(text: Column, tokenizer: Tokenizer) -> Column:
@@ -85,7 +80,7 @@ def secret_spans(text: Column, tokenizer: Tokenizer) -> Column:
             rows = []
             for data in texts:
                 base = base_spans(data)
-                every = base + random_spans(data, tokens_of, base)
+                every = base + random_spans(data.decode("utf-8", "surrogateescape"), tokens_of, base)
                 every.sort(key=lambda s: (s[1], KINDS.index(s[0])))
                 rows.append([{"kind": k, "start": s, "end": e} for k, s, e in every])
             yield pd.Series(rows, dtype=object)
