@@ -33,20 +33,30 @@ RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type
            "payload binary")
 
 
+#: What says that a revisit has the payload of the record it refers to (a fixed value of the format).
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
 def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """`page_id, payload, digest, payload_bytes, refers_to` of every row; `refers_to` is null for responses."""
+def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                 url_col: str = "url") -> DataFrame:
+    """`page_id, uri, payload, digest, payload_bytes, refers_to` of every row; `refers_to` is null for responses.
+
+    `uri` is the url without control characters and spaces; null where that is empty or there is no such column.
+    """
+    url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
+    uri = F.nullif(F.regexp_replace(url, r"[\x00-\x20\x7F]+", ""), F.lit(""))
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"),
+    rows = pages.select(F.col(id_col).alias("page_id"), uri.alias("uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"),
                         F.octet_length(payload).cast("long").alias("payload_bytes"))
     long_ = F.col("payload_bytes") >= REVISIT_BYTES
     first = stage(rows.filter(long_).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
                   .filter("n > 1").select("digest", "first"), "payloads")
     met = rows.join(broadcast_if_small(first), "digest", "left")
-    return met.select("page_id", "payload", "digest", "payload_bytes",
+    return met.select("page_id", "uri", "payload", "digest", "payload_bytes",
                       F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -54,8 +64,15 @@ def _record() -> Column:
     """A record without its end: headers, a blank line, the block."""
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    record = F.coalesce(_urn(F.col("page_id")), F.lit("<urn:page:>"))
+    # The pages do not say when they were fetched: the date is that of writing.
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-              F.concat(F.lit("WARC-Record-ID: "), F.coalesce(_urn(F.col("page_id")), F.lit("<urn:page:>"))),
+              F.concat(F.lit("WARC-Record-ID: "), record),
+              F.concat(F.lit("WARC-Date: "), now),
+              F.concat(F.lit("WARC-Target-URI: "), F.coalesce("uri", F.translate(record, "<>", ""))),
+              F.lit("Content-Type: text/html; charset=utf-8"),
+              F.when(revisit, F.lit(f"WARC-Profile: {SAME_PAYLOAD}")),
               F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
               F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
               F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to")))),

@@ -37,6 +37,9 @@ def test_archives_give_back_what_was_written(spark):
     for r in index:  # every record is a gzip file of its own
         record = gzip.decompress(files[r.file][r.offset:r.offset + r.length])
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+        head = dict(line.split(": ", 1) for line in record.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"]) and head["WARC-Target-URI"] == "u"
+        assert head["Content-Type"] and ("WARC-Profile" in head) == (head["WARC-Type"] == "revisit") == ("WARC-Refers-To" in head)
     for name, data in files.items():  # and the members fill the archive
         assert sum(r.length for r in index if r.file == name) == len(data)
 
