@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairlens.llm.common import broadcast_if_small, free_name, let
+from pairlens.llm.common import BROADCAST_ROWS, broadcast_if_small, free_name, let, small
 from pairlens.staging import stage
 
 SPAN = 10
@@ -89,41 +89,74 @@ def item_windows(items: DataFrame, span: int, id_col: str, text_col: str) -> Dat
     return stage(every.distinct(), "item-windows")
 
 
+def named_windows(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each window once, `(h, len, window, names)`, and the items that `names` stands for, `(names, item_ids)`; staged.
+
+    Windows of the same items share their names, so a passage that many items hold lists them once. Null ids are left out.
+    """
+    listed = windows.groupBy("h", "len", "window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    named = stage(listed.withColumn("names", F.sha2(F.to_json("item_ids"), 256)), "named-windows")
+    return named.select("h", "len", "window", "names"), stage(named.select("names", "item_ids").dropDuplicates(["names"]), "item-names")
+
+
+def _all_candidates(words: Column, lengths: list[int], span: int) -> Column:
+    """`(h, first, last, len)` for windows of `span` words and of each of the shorter lengths."""
+    with_length = lambda c, n: F.struct(c.h.alias("h"), c.first.alias("first"), c.last.alias("last"), F.lit(n).alias("len"))
+    # `(lambda n: ...)(n)` binds the length of this turn.
+    return F.concat(*[F.transform(_candidates(words, n, gram), (lambda n: lambda c: with_length(c, n))(n))
+                      for n, gram in _plans(sorted(lengths), span, GRAM)])
+
+
+def _met(docs: DataFrame, prints: DataFrame, lengths: list[int], span: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of `docs(rid, doc_id, text)`: `(rid, doc_id, n_words)`, and candidates that have a fingerprint of `prints(h)`, with their
+    words: `(rid, h, first, last, len, words)`.
+
+    Fingerprints that can be broadcast meet the documents as these are read. More of them meet narrow rows, without words,
+    and only texts in which something was met are moved, once each, for the words to be cut from them.
+    """
+    cut = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("len")).alias("words")
+    if small(prints, rows):
+        nothing = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("len"))
+        # One entry of each document has no hash and carries its number of words past the join.
+        read = docs.select("rid", "doc_id", let(words_of(F.col("text")), lambda w: F.struct(
+            w.alias("words"), F.concat(F.array(nothing), _all_candidates(w, lengths, span)).alias("candidates"))).alias("t"))
+        spread = read.select("rid", "doc_id", "t.words", F.explode("t.candidates").alias("c")).select(
+            "rid", "doc_id", "words", "c.h", "c.first", "c.last", "c.len")
+        met = spread.join(F.broadcast(prints.withColumn("known", F.lit(True))), "h", "left").filter(F.col("h").isNull() | F.col("known"))
+        found = stage(met.select("rid", "doc_id", "h", "first", "last", "len", F.when(F.col("h").isNull(), F.size("words")).alias("n_words"),
+                                 F.when(F.col("h").isNotNull(), cut).alias("words")), "candidates")
+        return (found.filter("h IS NULL").select("rid", "doc_id", "n_words"),
+                found.filter("h IS NOT NULL").select("rid", "h", "first", "last", "len", "words"))
+    worded = stage(docs.select("rid", "doc_id", words_of(F.col("text")).alias("words")), "document-words")
+    narrow = worded.select("rid", F.explode(_all_candidates(F.col("words"), lengths, span)).alias("c")).select("rid", "c.*")
+    met = stage(narrow.join(prints, "h", "left_semi"), "candidates")
+    texts = worded.select("rid", "words").join(broadcast_if_small(met.select("rid").distinct(), rows), "rid", "left_semi")
+    return (worded.select("rid", "doc_id", F.size("words").alias("n_words")),
+            met.join(texts, "rid").select("rid", "h", "first", "last", "len", cut))
+
+
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text",
-                  item_id_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Word counts `(rid, doc_id, n_words)` of all rows, and hits `(rid, start, len, item_id)`.
+                  item_id_col: str = "item_id", item_text_col: str = "text",
+                  broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Word counts `(rid, doc_id, n_words)` of all rows, hits `(rid, start, len, names)`, one for each window of a document
+    that items hold, and the items that `names` stands for, `(names, item_ids)`.
 
     A row of `docs` is a document, also if its id is null or repeated. Null and empty texts
     have no words and hit nothing. Items without words are passed over; rows that repeat an
     item change nothing; an item with a null id hits but cannot be named. Other columns are
-    not read.
+    not read. `broadcast_rows` bounds the rows of a table that is broadcast; the result does not depend on it.
     """
     windows = item_windows(items, span, item_id_col, item_text_col)
     lengths = [r[0] for r in windows.filter(F.col("len") < span).select("len").distinct().collect()]  # under `span` of them
-    nothing = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("first"), F.lit(-1).alias("last"),
-                       F.lit(0).alias("len"))
-    with_length = lambda c, n: F.struct(c.h.alias("h"), c.first.alias("first"), c.last.alias("last"), F.lit(n).alias("len"))
-    # `(lambda n: ...)(n)` binds the length of this turn.
-    candidates = lambda words: F.concat(F.array(nothing), *[
-        F.transform(_candidates(words, n, gram), (lambda n: lambda c: with_length(c, n))(n))
-        for n, gram in _plans(sorted(lengths), span, GRAM)])
-    read = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), let(
-        words_of(F.col(text_col)), lambda w: F.struct(w.alias("words"), candidates(w).alias("candidates"))).alias("t"))
-    # One entry of each document has no hash and carries its number of words past the join.
-    spread = read.select("rid", "doc_id", "t.words", F.explode("t.candidates").alias("c")).select(
-        "rid", "doc_id", "words", "c.h", "c.first", "c.last", "c.len")
-    prints = broadcast_if_small(windows.select("h").distinct().withColumn("known", F.lit(True)))
-    met = spread.join(prints, "h", "left").filter(F.col("h").isNull() | F.col("known"))
-    span_words = F.when(F.col("h").isNotNull(), F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("len")))
-    found = stage(met.select("rid", "doc_id", "h", "first", "last", "len", F.when(F.col("h").isNull(), F.size("words")).alias("n_words"),
-                             span_words.alias("words")), "candidates")
-
-    starts = found.filter("h IS NOT NULL").select("rid", "h", "first", "len", "words",
-                                                  F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
+    named, names = named_windows(windows)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    counts, found = _met(numbered, named.select("h").distinct(), lengths, span, broadcast_rows)
+    starts = found.select("rid", "h", "first", "len", "words",
+                          F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
     texts = starts.select("rid", "h", (F.col("first") + F.col("at")).alias("start"), "len",
                           _window(F.col("words"), F.col("at"), F.col("len")).alias("window"))
-    hits = texts.join(broadcast_if_small(windows), ["h", "len", "window"]).select("rid", "start", "len", "item_id")
-    return found.filter("h IS NULL").select("rid", "doc_id", "n_words"), stage(hits, "hits")
+    hits = texts.join(broadcast_if_small(named, broadcast_rows), ["h", "len", "window"]).select("rid", "start", "len", "names")
+    return counts, stage(hits, "hits"), names
 
 
 def covered(intervals: Column) -> Column:
@@ -135,12 +168,19 @@ def covered(intervals: Column) -> Column:
 
 
 def decontamination_report(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
-    """One row per row of `docs`: `doc_id, n_words, n_hit, n_items, items, contaminated`."""
-    counts, hits = contamination(docs, items, **columns)
+    """One row per row of `docs`: `doc_id, n_words, n_hit, n_items, items, contaminated`.
+
+    Nulls, repeated rows and empty tables count as in `contamination`; without items nothing is hit.
+    """
+    counts, hits, names = contamination(docs, items, **columns)
     interval = F.struct(F.col("start"), (F.col("start") + F.col("len")).alias("end"))
-    by_doc = hits.groupBy("rid").agg(F.sort_array(F.collect_set(interval)).alias("intervals"),
-                                     F.sort_array(F.collect_set("item_id")).alias("items"))
-    joined = counts.join(by_doc, "rid", "left")
+    by_doc = hits.groupBy("rid").agg(F.sort_array(F.collect_set(interval)).alias("intervals"))
+    # A list of names may be long, so their ids are counted and not the lists.
+    listed = names.agg(F.sum(F.size("item_ids"))).first()[0] or 0
+    held = hits.select("rid", "names").distinct().join(
+        F.broadcast(names) if listed <= columns.get("broadcast_rows", BROADCAST_ROWS) else names, "names")
+    items_of = held.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("items"))
+    joined = counts.join(by_doc, "rid", "left").join(items_of, "rid", "left")
     n_hit = F.coalesce(covered(F.col("intervals")), F.lit(0)).cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),
@@ -150,13 +190,14 @@ def decontamination_report(docs: DataFrame, items: DataFrame, **columns: str) ->
 def drop_contaminated(docs: DataFrame, items: DataFrame, **columns: str) -> DataFrame:
     """The rows of `docs` that share no window with an item, with all their columns.
 
-    Contaminated documents are told apart by the text they hold, so equal rows go together.
+    Contaminated documents are told apart by the text they hold, so equal rows go together, and whatever their
+    ids are. Rows with null or empty texts stay, and all rows do if no item has words. No rows in, no rows out.
     """
     text = docs[columns.get("text_col", "text")]
     key = free_name(docs, "_text_key")
     distinct = docs.select(F.sha2(F.coalesce(text, F.lit("")), 256).alias("doc_id"), text.alias("text"))
-    counts, hits = contamination(distinct, items, id_col="doc_id", text_col="text",
-                                 **{k: v for k, v in columns.items() if k.startswith("item")})
+    counts, hits, _ = contamination(distinct, items, id_col="doc_id", text_col="text",
+                                    **{k: v for k, v in columns.items() if k.startswith("item")})
     bad = stage(counts.join(hits.select("rid").distinct(), "rid", "left_semi").select(F.col("doc_id").alias(key)).distinct(),
                 "contaminated")
     keyed = docs.withColumn(key, F.sha2(F.coalesce(text, F.lit("")), 256))

@@ -133,6 +133,36 @@ def test_contamination_holds_against_all_windows(spark, edge, nothing):
     assert Counter(r.text for r in kept.collect()) == Counter(t for _, t, _ in EDGE if "two three four" not in " ".join(words(t)))
 
 
+def test_fingerprints_that_are_not_broadcast_give_the_same(spark, edge, nothing):
+    texts = random_texts(4, 60, words=40, vocabulary=3) + ["Ä-b C_d", None, ""]
+    items = [(i, t) for i, t in enumerate(random_texts(4, 70, words=40, vocabulary=3)[50:])] + [(90, "ä b c"), (None, "b c d"), (91, None)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    thin = lambda d: Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in
+                             decontam.decontamination_report(d, bench, broadcast_rows=0).collect())
+    assert thin(docs) == brute_hits(enumerate(texts), items)
+    assert thin(edge) == brute_hits([(i, t) for i, t, _ in EDGE], items)
+    assert not thin(nothing)
+
+
+def test_a_prompt_of_many_items_is_one_hit_a_document(spark):
+    prompt = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, f"a{i} {prompt} z{i}") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"q{i} {prompt} r{i}") for i in range(30)], "item_id long, text string")
+    counts, hits, names = decontam.contamination(docs, items)
+    assert counts.count() == 20 and hits.count() == 20
+    want = (12, 10, ",".join(sorted(map(str, range(30)))))
+    assert report(docs, items) == Counter({(i, *want): 1 for i in range(20)})
+
+
+def test_nothing_to_hold_against_keeps_every_row(spark, edge, nothing):
+    for items in ([], [(1, None), (2, ""), (3, "...")]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        kept = decontam.drop_contaminated(edge, bench)
+        assert kept.columns == edge.columns and Counter(r.text for r in kept.collect()) == Counter(t for _, t, _ in EDGE)
+        assert decontam.drop_contaminated(nothing, bench).count() == 0
+
+
 def test_shared_spans_of_ten_words_are_found_wherever_they_lie(spark):
     filler = random_texts(5, 40, words=60, vocabulary=40)
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
