@@ -38,7 +38,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairlens.llm.common import select_rows
+from pairlens.llm.common import select_rows, small
 from pairlens.llm.groups import components, consecutive
 from pairlens.staging import stage
 
@@ -52,6 +52,8 @@ MOST_COORDINATES = 1024
 GROUP_CLASSES = 4096
 GROUP_BYTES = 64 << 20
 MEMO_WORDS = 200_000
+#: Keys of 8 bytes that are broadcast, so that only texts of groups move; with more of them all texts do, once.
+PLACED_KEYS = 500_000
 SKETCH = "rid long, row_key long, n_shingles long, class binary, tokens array<long>"
 
 
@@ -227,6 +229,9 @@ def class_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
     pair = lambda b: lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j"))
     placed = stage(split.select("hub", "rep", "row_key", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), pair(F.col("block")))).alias("p")).select("hub", "p.i", "p.j", "rep", "row_key"), "placed")
+    keys = placed.select("row_key").distinct()
+    if small(keys, PLACED_KEYS):  # texts without a group stay where they are read
+        texts = texts.join(F.broadcast(keys), "row_key", "left_semi")
     packed = texts.mapInArrow(_pack, "row_key long, packed binary").dropDuplicates(["row_key"])
     full = placed.join(packed, "row_key").select("hub", "i", "j", F.xxhash64("rep").alias("place"), "rep", "packed")
     sorted_ = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "place")
@@ -272,7 +277,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
 
 def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """One row of each component, that of the least id, with all its columns."""
+    """One row of each component, that of the least id, with all its columns.
+
+    Null ids come last, and of rows with the same id and text one stays. Rows without words are linked with
+    nothing: each of them stays, but of those that repeat id and text one. No rows in, no rows out.
+    """
     groups = stage(near_groups(docs, words, percent, id_col, text_col), "near-groups")
     times = groups.groupBy("row_key").agg(
         F.count("*").alias("times"), F.max(F.col("rid") == F.col("component_rid")).alias("kept")).filter("kept")
