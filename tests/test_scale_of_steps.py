@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from pairlens.operators import words as W
 from pairlens.sources import derived as D
 
 
@@ -55,3 +56,28 @@ def test_pairs_do_not_store_a_text_once_per_pair(spark, tmp_path):
     stored = sum(Path(urllib.parse.unquote(urllib.parse.urlparse(f).path)).stat().st_size for f in pairs.inputFiles())
     # Nearly every text is in two pairs on either side; random letters shrink to three quarters.
     assert stored < 2.5 * sum(len(t) for _, t in docs)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("hot_keys", [10_000, 3])
+def test_word_match_share_moves_no_list_of_words_by_pair(spark, hot_keys):
+    rows = [(1, ["a", "b", "b", "the"], ["b", "c"]), (2, ["a"], ["a", "a"]), (3, [], ["a"]), (4, ["the"], ["the"]), (5, None, ["a"]),
+            (6, ["x", "y"], ["z"]), (7, ["rare"], ["rare"]), (8, ["a", "b"], ["c"]), (8, ["a"], ["a", "c"]), (9, ['q"\\', "b"], ['q"\\'])]
+    weight = {"a": .5, "b": .25, "c": .125, "the": 1.0, "x": .75, "y": .375, "z": .0625, "rare": 0.0, 'q"\\': 2.0}
+    tokens = spark.createDataFrame(rows, "id long, words1 array<string>, words2 array<string>")
+    weights = spark.createDataFrame([(w, n + 2, x) for n, (w, x) in enumerate(weight.items())], "word string, cnt long, weight double")
+    found = W.word_match_share(tokens, weights, ["the"], hot_keys=hot_keys)
+    assert "words1" not in _plan(found)
+
+    def share(i, stops):
+        both = [(set(a) - stops, set(b) - stops) for j, a, b in rows if j == i and a is not None and b is not None]
+        whole = sum(weight[w] for a, b in both for s in (a, b) for w in s)
+        return sum(2 * weight[w] for a, b in both for w in a & b) / whole if whole else None
+
+    made = sorted((r.id, r.tfidf_wm, r.tfidf_wm_stops) for r in found.collect() if r.id not in (5, 7))
+    assert made == sorted((i, 0.0 if not a or not b else share(i, set()), 0.0 if {*a} <= {"the"} or {*b} <= {"the"} else share(i, {"the"}))
+                          for i, a, b in rows if i not in (5, 7))
+    assert {(r.id, r.tfidf_wm) for r in found.collect() if r.id in (5, 7)} == {(5, None), (7, None)}
