@@ -52,8 +52,10 @@ def texts_by_part(docs: DataFrame, text_col: str = "text", part_col: str = "lang
 
 def hot_words(texts: DataFrame, hot: int = HOT_WORDS) -> dict[bytes, int]:
     """Words, over all languages, that make up more than 1 / `hot` of all, and over how many buckets each is dealt."""
-    words = texts.select(F.explode(F.split(F.translate("text", UPPER, LOWER), "[ \t.,;:!?\n-\r]+")).alias("word")).filter("word <> ''")
-    counts = stage(words.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    words = texts.select(F.explode(F.split("text", "[ \t.,;:!?\n-\r]+")).alias("word")).filter("word <> ''")
+    # Lower-cased are the distinct words, not the texts.
+    spelled = words.groupBy("word").agg(F.count("*").alias("n")).select(F.translate("word", UPPER, LOWER).alias("word"), "n")
+    counts = stage(spelled.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     bound = (counts.agg(F.sum("n")).first()[0] or 0) / hot
     return {r.word.encode(): int(r.n // bound) + 1 for r in counts.filter(F.col("n") > bound).collect()}  # under `hot` rows
 
@@ -143,15 +145,16 @@ def _packed_windows(batches: Iterator[pa.RecordBatch], hot: dict[bytes, int], bu
 
 def _cut_back(word: bytes, tails: list[bytes], hot: dict[bytes, int], least: int) -> dict[tuple[bytes, ...], int]:
     """Occurrences by longest prefix that may be frequent, of all windows of a word that are in one bucket."""
-    counts: dict[bytes, int] = defaultdict(int)
-    for tail in tails:
-        for line in tail.split(b"\n"):
-            rest, n = line.rsplit(b" ", 1)
-            counts[rest] += int(n)
-    total = sum(counts.values())
+    lines = b"\n".join(tails).split(b"\n")
     hot1 = word in hot
-    if total < least and not hot1:
-        return {(b"",) * LONGEST: total}
+    if not hot1 and len(lines) < least:
+        total = sum(int(line[line.rindex(b" "):]) for line in lines)
+        if total < least:
+            return {(b"",) * LONGEST: total}
+    counts: dict[bytes, int] = defaultdict(int)
+    for line in lines:
+        rest, _, n = line.rpartition(b" ")
+        counts[rest] += int(n)
     twos, threes = defaultdict(int), defaultdict(int)
     windows = [(*rest.split(b" "), n) for rest, n in counts.items()]
     for w2, w3, _, n in windows:

@@ -174,3 +174,8 @@ def test_join_edge_rows(edge, nothing):
     size = len(shingles(LONG, 5))
     assert heads[10] == heads[11] == {(size, 10)} and heads[12] == {(size + 1, 10)}
     assert [heads[i] for i in (7, 8, 9, 13)] == [{(0, i)} for i in (7, 8, 9, 13)]
+
+
+def test_words_in_either_case_are_hot_together(spark):
+    texts = spark.createDataFrame([("x", "The the THE cat.the"), ("y", "Dog\tthe dog\x0bDOG É é cat")], "lang string, text string")
+    assert collocations.hot_words(texts, hot=5) == {b"the": 3, b"dog": 2}  # 5 and 3 of 12 words, the bound being 2.4
