@@ -170,3 +170,26 @@ def test_random_words_with_short_spans(spark):
     texts = random_texts(9, 80, words=20, vocabulary=3)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert cut(docs, span=9, gram=4) == brute_cut([(i, t.encode()) for i, t in enumerate(texts)], 9)
+
+
+@pytest.mark.parametrize("span, gram", [(50, 20), (8, 3), (5, 5), (1, 1)])
+def test_runs_of_windows_against_each_window(span, gram):
+    rng = np.random.default_rng(7)
+    for size in (0, 4, 60, 300):
+        ends = np.cumsum(rng.integers(0, size + 1, 6))
+        data = rng.integers(97, 99, ends[-1]).astype(np.uint8)
+        hashes = (suffix._mixed(suffix.Hashes(data).each(gram)) >> np.uint64(16)).astype(np.int64).tolist() if len(data) >= gram else []
+        runs, last = [], None
+        for i in range(max(0, len(data) - span + 1)):
+            text = int(np.searchsorted(ends, i, "right"))
+            if i + span > ends[text]:
+                last = None
+                continue
+            window = hashes[i:i + span - gram + 1]
+            anchor = (text, i + window.index(min(window)))
+            if anchor == last:
+                runs[-1][3] = i
+            else:
+                runs.append([min(window), text, i, i])
+            last = anchor
+        assert [list(r) for r in zip(*[x.tolist() for x in suffix.window_runs(data, ends, span, gram)])] == runs
