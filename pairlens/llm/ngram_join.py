@@ -44,6 +44,8 @@ FREQUENT = 64
 HOT_GRAMS = 100_000
 LATE = np.uint64(1 << 63)
 FRAGMENTS = 8
+#: N-grams kept behind a prefix, as a share of it, and at least: they move up where frequent ones leave it.
+SPARE, LEAST_SPARE = 0.25, 4
 #: Places of a prefix that travel with it, to tell how far it reaches.
 MARKS = 16
 GROUP_CLASSES = 1024
@@ -85,8 +87,18 @@ def prefix_of(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarr
     return ordered[:prefix_length(len(grams), percent)].copy()  # a view would hold the whole set
 
 
+def redrawn_prefix(prefix: np.ndarray, spare: np.ndarray, frequent: np.ndarray) -> np.ndarray | None:
+    """The prefix with the frequent n-grams last, from itself and the n-grams that follow it; None if these are too few."""
+    late = _among(prefix, frequent)
+    if not late.any():
+        return prefix
+    kept = np.concatenate([prefix[~late], spare[~_among(spare, frequent)]])
+    return kept[:len(prefix)] if len(kept) >= len(prefix) else None
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """`docs(rid, doc_id, data)` with the size and a digest of the set, its prefix in order of the hashes, and the text packed."""
+    """`docs(rid, doc_id, data)` with the size and a digest of the set, its prefix in order of the hashes, the n-grams that
+    follow it (`spare`), and the text packed."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, squeeze, none = _WordHashes(), zstandard.ZstdCompressor(level=1), np.empty(0, np.uint64)
         for batch in _parts(batches):
@@ -95,36 +107,38 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for value in data:
                 text = value.as_py() or b""
                 grams = gram_set(text, words, memo)
-                rows.append((len(grams), xxhash.xxh3_128_digest(grams.tobytes()), prefix_of(grams, none, percent).view(np.int64),
+                prefix = prefix_of(grams, none, percent)
+                spare = grams[len(prefix):len(prefix) + max(LEAST_SPARE, int(SPARE * len(prefix)))].copy()
+                rows.append((len(grams), xxhash.xxh3_128_digest(grams.tobytes()), prefix.view(np.int64), spare.view(np.int64),
                              squeeze.compress(text)))
-            sizes, names, prefixes, packed = zip(*rows) if rows else ((),) * 4
+            sizes, names, prefixes, spares, packed = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [rid, doc_id, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                ["rid", "doc_id", "n_shingles", "class", "prefix", "packed"])
+                [rid, doc_id, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(spares, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                ["rid", "doc_id", "n_shingles", "class", "prefix", "spare", "packed"])
 
     schema = T.StructType([*docs.select("rid", "doc_id").schema.fields, T.StructField("n_shingles", T.LongType()),
                            T.StructField("class", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-                           T.StructField("packed", T.BinaryType())])
+                           T.StructField("spare", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType())])
     return docs.mapInArrow(build, schema)
 
 
 def _redrawn(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """`(rep, prefix, packed)` to `(rep, prefix)`; a prefix without a frequent n-gram is the same in the new order."""
+    """`(rep, prefix, spare, packed)` to `(rep, prefix)`; a text is taken apart only where the spare n-grams do not do."""
     memo, reader = _WordHashes(), zstandard.ZstdDecompressor()
     for batch in _parts(batches):
-        reps, prefixes, packed = batch.columns
+        reps, prefixes, spares, packed = batch.columns
         out = []
-        for old, text in zip(prefixes, packed):
-            prefix = old.values.to_numpy().view(np.uint64)
-            if _among(prefix, frequent).any():
+        for old, spare, text in zip(prefixes, spares, packed):
+            prefix = redrawn_prefix(*(a.values.to_numpy().view(np.uint64) for a in (old, spare)), frequent)
+            if prefix is None:
                 prefix = prefix_of(gram_set(reader.decompress(text.as_py()), words, memo), frequent, percent)
             out.append(prefix.view(np.int64))
         yield pa.RecordBatch.from_arrays([reps, pa.array(out, pa.list_(pa.int64()))], ["rep", "prefix"])
 
 
 def ordered_prefixes(classes: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """Prefixes `(rep, prefix)` of `classes(rep, prefix, packed)` in an order with the frequent n-grams last, and their
+    """Prefixes `(rep, prefix)` of `classes(rep, prefix, spare, packed)` in an order with the frequent n-grams last, and their
     postings `(token, rep)` without lists of one."""
     post = lambda prefixes: prefixes.select(F.explode("prefix").alias("token"), "rep")
     lists = lambda postings, name: stage(postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), name)
@@ -134,7 +148,7 @@ def ordered_prefixes(classes: DataFrame, words: int = WORDS, percent: int = PERC
     hot = shared.filter(F.col("n") > bound).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)  # under HOT_GRAMS
     hot = np.sort(hot)
     if len(hot):
-        prefixes = stage(classes.select("rep", "prefix", "packed").mapInArrow(
+        prefixes = stage(classes.select("rep", "prefix", "spare", "packed").mapInArrow(
             lambda batches: _redrawn(batches, hot, words, percent), "rep long, prefix array<long>"), "prefixes")
         shared = lists(post(prefixes), "shared-grams-again")
     return prefixes, stage(post(prefixes).join(shared.select("token"), "token").select("token", "rep"), "gram-postings")

@@ -164,6 +164,33 @@ def test_fragment_sums_are_the_overlaps():
     assert ngram_join.prefix_length(0, 80) == 0 and ngram_join.prefix_length(1, 80) == 1 and ngram_join.prefix_length(100, 80) == 21
 
 
+def test_prefixes_are_redrawn_from_their_spare_grams():
+    rng, told = np.random.default_rng(8), 0
+    for _ in range(300):
+        grams = np.unique(rng.integers(0, 200, rng.integers(1, 80))).astype(np.uint64)
+        frequent = np.unique(rng.integers(0, 200, rng.integers(0, 60))).astype(np.uint64)
+        plain = ngram_join.prefix_of(grams, np.empty(0, np.uint64), 70)
+        spare = grams[len(plain):len(plain) + rng.integers(0, 20)]
+        made = ngram_join.redrawn_prefix(plain, spare, frequent)
+        want = ngram_join.prefix_of(grams, frequent, 70)
+        told += made is not None
+        assert made is None or np.array_equal(made, want)
+        # Only where the spare n-grams do not do is the text looked at again.
+        if made is None:
+            assert (~np.isin(np.concatenate([plain, spare]), frequent)).sum() < len(plain)
+    assert told > 100
+
+
+@pytest.mark.parametrize("spare", [0, 1, 10])
+def test_join_does_not_depend_on_the_spare_grams(spark, monkeypatch, spare):
+    monkeypatch.setattr(ngram_join, "SPARE", 0.0)
+    monkeypatch.setattr(ngram_join, "LEAST_SPARE", spare)
+    texts = near_texts(4) + [f"{i} common passage of many words that all documents of this kind share {i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(docs, 3, frequent=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 3)
+
+
 def test_join_edge_rows(edge, nothing):
     got = ngram_join.join_documents(edge).collect()
     assert len(got) == len(EDGE) and ngram_join.join_documents(nothing).count() == 0
