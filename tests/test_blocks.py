@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pairlens.functions import text as T
-from pairlens.operators import corpus, vectors
+from pairlens.operators import corpus, nouns, vectors
 from pairlens.staging import stage
 
 WORDS = ["x" + a + b for a in "abcdefgh" for b in "klmnopqr"]
@@ -73,3 +73,24 @@ def test_moves_by_blocks(texts, table, word_vectors, block_bytes):
     assert sorted(str(r.id) for r in made) == sorted(str(r.id) for r in rows)
     for r in made:
         assert r.wmd == (None if score(r.id) is None else pytest.approx(score(r.id), abs=1e-6)), r
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 1000, 1])
+def test_sequences_and_mapped_tokens_by_blocks(spark, texts, block_bytes):
+    number = {w: n for n, w in enumerate(WORDS[:40], 1)}
+    vocabulary = spark.createDataFrame([(w, 2, n) for w, n in number.items()] + [("xbk", 2, 3)], "word string, cnt long, idx long")
+    rows = texts.collect()
+    numbers = lambda t: [n for w in (t or "").split() if w in number for n in (sorted((number[w], 3)) if w == "xbk" else [number[w]])]
+    made = corpus.texts_to_sequences(texts, vocabulary, block_bytes=block_bytes)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r.id), r.seq1, r.seq2) for r in made.collect()) == sorted((str(r.id), numbers(r.question1), numbers(r.question2)) for r in rows)
+
+    norm = {w: f"{w}!" for w in WORDS[::3]}
+    dictionary = spark.createDataFrame([*norm.items(), ("xak", "an\nother"), ("xan", None)], "word string, norm string")
+    given = [(1, ["xak", "xal", "xak"], ["xan", "q\n", None, ""]), (2, [], None), (3, WORDS * 3, ["xak", "xal", "xak"]), (3, ["a"], [""])]
+    tokens = spark.createDataFrame(given, "id long, words1 array<string>, words2 array<string>")
+    counts = spark.createDataFrame([(w, 1) for w in WORDS], "word string, cnt long")
+    of = lambda ws: [x for w in ws or [] for x in {"xak": ["an\nother", "xak!"], "xan": ["xan", "xan!"] if "xan" in norm else ["xan"]}.get(w, [norm.get(w, w)])]
+    mapped = nouns.map_tokens(tokens, dictionary, counts, hot_keys=2, block_bytes=block_bytes)
+    assert "collect_list" not in mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(str((r.id, r.words1, r.words2)) for r in mapped.collect()) == sorted(str((i, of(a), of(b))) for i, a, b in given)
