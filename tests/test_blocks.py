@@ -1,10 +1,12 @@
 """Texts that meet a table by their words, a block at a time: the same rows, and no wide value once per word of a text."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from checks.spark_queries import QUERIES
 from pairlens.functions import text as T
-from pairlens.operators import corpus, nouns, vectors
+from pairlens.operators import blocks, corpus, nouns, vectors
 from pairlens.staging import stage
 
 WORDS = ["x" + a + b for a in "abcdefgh" for b in "klmnopqr"]
@@ -94,3 +96,21 @@ def test_sequences_and_mapped_tokens_by_blocks(spark, texts, block_bytes):
     mapped = nouns.map_tokens(tokens, dictionary, counts, hot_keys=2, block_bytes=block_bytes)
     assert "collect_list" not in mapped._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(str((r.id, r.words1, r.words2)) for r in mapped.collect()) == sorted(str((i, of(a), of(b))) for i, a, b in given)
+
+
+def test_assembled_features_clean_texts_once(spark, tmp_path):
+    docs = [(i, f"Text {i % 3} of the cat and dogs, what's {i}") for i in range(1, 12)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(6)], "vec_id long, embedding array<float>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["assemble_features"](spark, str(tmp_path))
+    assert "split(lower(question" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 10 + 4
+
+
+def test_vectors_of_a_block_must_be_as_wide():
+    made = lambda rows: blocks.matrix(pa.chunked_array([pa.array(rows, pa.list_(pa.float64()))]), np.arange(len(rows))[::-1])
+    assert made([[1.0, 2.0], [3.0, 4.0]]).tolist() == [[3.0, 4.0], [1.0, 2.0]] and made([]).shape == (0, 0)
+    for rows in ([[1.0, 2.0], None], [[1.0, 2.0, 3.0], [4.0]]):
+        with pytest.raises(ValueError):
+            made(rows)
