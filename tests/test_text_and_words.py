@@ -139,3 +139,11 @@ def test_nouns_and_mapping(spark, hot_keys):
     norms = spark.createDataFrame([("cats", "cat")], "word string, norm string")
     mapped = by_id(nouns.map_tokens(tokens, norms, counts, hot_keys=hot_keys))
     assert mapped[1]["words1"] == ["cat", "see", "cat"] and mapped[1]["words2"] == ["no", "cat", "here", "dogs"]
+
+
+def test_word_set_features_make_each_list_distinct_once(spark):
+    df = spark.createDataFrame([(1, ["a", "the", "a"], ["the", "b"]), (2, None, []), (3, ["the"], ["the"])], "id long, words1 array<string>, words2 array<string>")
+    found = words.word_set_features(df, ["the"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 2
+    got = by_id(found)
+    assert got[1]["total_unq_words_stop"] == 2 and got[1]["total_unique_words"] == 3 and got[3]["total_unq_words_stop"] == 0
