@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairlens.llm.common import pieces
+from pairlens.llm.common import free_name, pieces
+from pairlens.staging import stage
 
 STEPS = 48
 UNITS = 8
@@ -28,6 +29,8 @@ BATCH = 256
 #: Stretches a task holds states of at a time; bounds its memory, whatever a text's length.
 STRETCHES_AT_ONCE = 2048
 UNKNOWN = "und"
+#: Steps of the score in which labelled rows are counted, to find from where on a language can be told.
+SCORE_STEPS = 1000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -248,15 +251,45 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
     return guessed.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def least_score(named: DataFrame, right: Column, score: Column, steps: int = SCORE_STEPS) -> float:
+    """The score below which more rows of `named` are called wrong than right, by the widest margin; 0 if there is none.
+
+    All rows are counted, by score in `steps` steps; of equal margins the lowest score is taken.
+    """
+    step = F.least(F.floor(score * steps), F.lit(steps - 1)).alias("step")
+    margin = F.sum(F.when(right, -1).otherwise(1)).alias("margin")
+    best = total = least = 0
+    for r in sorted(named.groupBy(step).agg(margin).collect()):
+        total += r.margin
+        if total > best:
+            best, least = total, r.step + 1
+    return least / steps
+
+
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                      min_score: float = 0.0) -> DataFrame:
+                      min_score: float | None = None, names: tuple[str, str] | None = None) -> DataFrame:
     """The rows of `docs` in a language that can be told, with all their columns.
 
+    With `min_score` a language is told from that score on. Without, the score is calibrated on every labelled row that may be
+    learned from: where less certain rows are called wrong more often than right, their language cannot be told
+    (`least_score`). Every text is read once for that, and kept with what it was called in a staged table.
+    `names` adds the language and its score under these names, lengthened where they are taken.
+
     Where no row can be learned from (no labels, or all of them on rows that are held out), no
     language can be told from another: every row with a letter stays, whatever `min_score` is.
     """
     network = fit(training_sample(docs, id_col, text_col, lang_col))
+    p = free_name(docs, "_language")
+    named = docs.withColumn(p, predict(F.col(text_col), network))
+    label, guess = F.col(lang_col).cast("string"), F.col(p)["lang_pred"]
     if not network.languages:
-        return docs.filter(has_letter(F.col(text_col)))
-    p = predict(F.col(text_col), network)
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= min_score))
+        told = has_letter(F.col(text_col))
+    else:
+        if min_score is None:
+            named = stage(named, "named-languages", codec="zstd")
+            known = named.filter(~held_out(F.col(id_col)) & label.isNotNull() & (guess != UNKNOWN))
+            min_score = least_score(known, label == guess, F.col(p)["score"])
+        told = (guess != UNKNOWN) & (F.col(p)["score"] >= min_score)
+    kept = named.filter(told)
+    shown = [] if names is None else [F.col(p)[f].alias(free_name(docs, n)) for f, n in zip(("lang_pred", "score"), names)]
+    return kept.select(*docs.columns, *shown)

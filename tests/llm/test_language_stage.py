@@ -1,0 +1,43 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from pairlens.llm import language
+from tests.llm.test_language_decontam_pipeline import WORDS, labelled
+
+THREE = WORDS | {"zz": ["efe", "fee", "eff", "feef"]}
+
+
+def corpus():
+    """Clean texts of three languages, and texts of words of all three that are called by each in turn, or by none."""
+    rng = np.random.default_rng(5)
+    clean = [(i, " ".join(rng.choice(THREE[lang], 20)), lang) for i in range(180) for lang in [("xx", "yy", "zz")[i % 3]]]
+    every = [w for words in THREE.values() for w in words]
+    mixed = [(i, " ".join(rng.choice(every, 60)), (*THREE, None)[i % 4]) for i in range(1000, 1240)]
+    return clean, mixed
+
+
+def test_the_pipeline_drops_texts_whose_language_cannot_be_told(spark):
+    import corpus_pipeline
+
+    clean, mixed = corpus()
+    docs = spark.createDataFrame(clean + mixed + [(2000, "12 34", "xx")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {i for i, _, _ in clean} <= set(got) and len([i for i in got if i >= 1000]) < 24
+    assert all(got[i].lang_pred == lang and 0.5 < got[i].lang_score <= 1 for i, _, lang in clean)
+
+
+def test_what_a_text_was_called_goes_beside_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame(labelled(), "doc_id long, text string, lang string").withColumn("LANG_PRED", F.lit("kept"))
+    got = language.drop_unidentified(docs, names=("lang_pred", "lang_score"))
+    assert got.columns == ["doc_id", "text", "lang", "LANG_PRED", "lang_pred_", "lang_score"]
+    assert {(r.LANG_PRED, r.lang_pred_ == r.lang) for r in got.collect()} == {("kept", True)} and got.count() == len(labelled())
+    assert language.drop_unidentified(docs).columns == docs.columns
+    unlabelled = language.drop_unidentified(docs.withColumn("lang", F.lit(None).cast("string")), names=("called", "sure"))
+    assert {(r.called, r.sure) for r in unlabelled.collect()} == {("und", 0.0)} and unlabelled.count() == len(labelled())
+
+
+def test_the_least_score_is_where_wrong_names_lead_by_most(spark):
+    least = lambda rows: language.least_score(spark.createDataFrame(rows, "score double, right boolean"), F.col("right"), F.col("score"))
+    assert least([(0.3, False), (0.41, False), (0.42, True), (0.5, False), (0.62, False), (0.7, True), (1.0, True)]) == 0.621
+    assert least([(0.3, True), (0.9, True), (1.0, False)]) == 0.0 and least([]) == 0.0
+    assert least([(1.0, False)]) == 1.0 and least([(0.25, False), (0.4, True), (0.4, False)]) == 0.251
