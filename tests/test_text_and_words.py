@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions import text as T
 from pairlens.operators import assemble, corpus, nouns, words
+from pairlens.staging import stage
 from tests.conftest import by_id
 
 
@@ -147,3 +148,17 @@ def test_word_set_features_make_each_list_distinct_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 2
     got = by_id(found)
     assert got[1]["total_unq_words_stop"] == 2 and got[1]["total_unique_words"] == 3 and got[3]["total_unq_words_stop"] == 0
+
+
+def test_nouns_of_pairs_move_with_their_texts_and_not_word_by_word(spark):
+    """An id that comes twice has the nouns of both its rows; a lexicon word that comes twice counts twice."""
+    rows = [(1, "cats cats dogs", "dogs"), (1, "cats dogs", "cats birds"), (2, "birds", "birds birds"), (3, None, "cats"), (None, "cats", "cats")]
+    df = stage(spark.createDataFrame(rows, "id long, question1 string, question2 string"), "noun-pairs")
+    lexicon = spark.createDataFrame([("cats", "NN"), ("dogs", "NNS"), ("dogs", "NN"), ("birds", "XX")], "word string, tag string")
+    counts = corpus.token_counts(corpus.question_cells(df), T.word_runs)
+    for block_bytes in (1, 16 << 20):
+        matched = nouns.noun_match(df, lexicon, counts, block_bytes=block_bytes)
+        assert sorted(((r.id or 0), r.noun_match) for r in matched.collect()) == [(0, 0), (1, 7), (1, 7), (2, 0), (3, 0)]
+        # No row of id and noun is made or grouped: blocks of pairs meet lists of nouns.
+        plan = matched._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "nouns1" not in plan
