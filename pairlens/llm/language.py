@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlens.llm.common import free_name, pieces
-from pairlens.staging import stage
 
 STEPS = 48
 UNITS = 8
@@ -220,8 +219,11 @@ def fit(sample: list, rounds: int = ROUNDS, seed: int = 0) -> Network:
     return network.train(data, true, np.array([label for _, label in parts]), rounds, seed)
 
 
-def predict(text: Column, network: Network) -> Column:
-    """`(lang_pred, score)`: the likeliest language and its probability; `und` and 0 without a letter or a language."""
+def predict(text: Column, network: Network, once: bool = False) -> Column:
+    """`(lang_pred, score)`: the likeliest language and its probability; `und` and 0 without a letter or a language.
+
+    With `once` Spark is told not to repeat the column where it is read several times, as by a filter and a result.
+    """
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in pieces(batches):
             p = network.document_probabilities(list(texts))
@@ -233,7 +235,8 @@ def predict(text: Column, network: Network) -> Column:
     nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     if not network.languages:
         return nothing
-    guess = F.pandas_udf(predicted, "lang_pred string, score double")(F.coalesce(text, F.lit("")).cast("binary"))
+    network_udf = F.pandas_udf(predicted, "lang_pred string, score double")
+    guess = (network_udf.asNondeterministic() if once else network_udf)(F.coalesce(text, F.lit("")).cast("binary"))
     return F.when(has_letter(text), guess).otherwise(nothing)
 
 
@@ -272,7 +275,7 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     With `min_score` a language is told from that score on. Without, the score is calibrated on every labelled row that may be
     learned from: where less certain rows are called wrong more often than right, their language cannot be told
-    (`least_score`). Every text is read once for that, and kept with what it was called in a staged table.
+    (`least_score`). Labelled texts are read once more for that; nothing is stored.
     `names` adds the language and its score under these names, lengthened where they are taken.
 
     Where no row can be learned from (no labels, or all of them on rows that are held out), no
@@ -280,15 +283,15 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     network = fit(training_sample(docs, id_col, text_col, lang_col))
     p = free_name(docs, "_language")
-    named = docs.withColumn(p, predict(F.col(text_col), network))
+    named = docs.withColumn(p, predict(F.col(text_col), network, once=True))
     label, guess = F.col(lang_col).cast("string"), F.col(p)["lang_pred"]
     if not network.languages:
         told = has_letter(F.col(text_col))
     else:
         if min_score is None:
-            named = stage(named, "named-languages", codec="zstd")
-            known = named.filter(~held_out(F.col(id_col)) & label.isNotNull() & (guess != UNKNOWN))
-            min_score = least_score(known, label == guess, F.col(p)["score"])
+            known = docs.filter(~held_out(F.col(id_col)) & label.isNotNull() & has_letter(F.col(text_col))).select(
+                label.alias("label"), predict(F.col(text_col), network).alias("p")).select("label", "p.*")
+            min_score = least_score(known, F.col("label") == F.col("lang_pred"), F.col("score"))
         told = (guess != UNKNOWN) & (F.col(p)["score"] >= min_score)
     kept = named.filter(told)
     shown = [] if names is None else [F.col(p)[f].alias(free_name(docs, n)) for f, n in zip(("lang_pred", "score"), names)]
